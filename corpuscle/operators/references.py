@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bits a parent key gets in the filter, hash functions used, and the most a broadcast filter may take.
-BITS_A_KEY, HASHES, FILTER_BYTES = 10, 4, 64 << 20
+BITS_A_KEY, HASHES, FILTER_BYTES = 10, 4, 16 << 20
 
 
 def reference_rows(tables: dict[str, DataFrame], key: str = "qid", period: str = "dump_date") -> DataFrame:
