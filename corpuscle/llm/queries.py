@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import frequent, lookalike
+from corpuscle.llm import frequent, leakage, lookalike, packing
 from corpuscle.session import table
 
 #: Share of all rows from which p2_found reports a value.
@@ -33,7 +33,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.alike_pairs(p4_forms(spark, d), ["ref_table"])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_intervals, p4_found, p4_forms)}
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed_sequences(table(spark, d, "documents"))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(p6_packing(spark, d))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_intervals, p4_found, p4_forms, p6_packing, p6_report, p7_found)}
 ORACLES = {
     "p2_found": """
 WITH v AS (SELECT 'surface_id' AS field_name, surface_id AS item FROM text_match WHERE surface_id IS NOT NULL
