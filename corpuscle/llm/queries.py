@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import frequent, leakage, lookalike, packing
+from corpuscle.llm import frequent, leakage, lookalike, packing, subjects
 from corpuscle.session import table
 
 #: Share of all rows from which p2_found reports a value.
@@ -45,7 +45,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_intervals, p4_found, p4_forms, p6_packing, p6_report, p7_found)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "subject_label"))
+
+
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subject_counts(p8_found(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_intervals, p4_found, p4_forms, p6_packing, p6_report, p7_found, p8_found, p8_counts)}
 ORACLES = {
     "p2_found": """
 WITH v AS (SELECT 'surface_id' AS field_name, surface_id AS item FROM text_match WHERE surface_id IS NOT NULL
