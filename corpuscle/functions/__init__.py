@@ -1 +1 @@
-
+"""Scalar functions: one text normalization contract, ids, escapes."""

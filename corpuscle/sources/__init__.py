@@ -1 +1 @@
-
+"""Readers and writers of dump, table and event files."""

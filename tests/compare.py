@@ -30,7 +30,7 @@ def rows_of(columns, rows):
 
 
 def oracle_rows(sf_dir: str, sql: str):
-    con = duckdb.connect()
+    con = duckdb.connect(config={"temp_directory": "", "memory_limit": "8GB"})
     for p in Path(sf_dir).iterdir():
         con.execute(f"CREATE VIEW {p.name.split('.')[0]} AS SELECT * FROM read_parquet('{p / '*' if p.is_dir() else p}')")
     done = con.execute(sql)
