@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from corpuscle.session import small
 
 #: Keys up to which the dictionary goes to the executors as one automaton, and characters of the anchor beyond that.
 BROADCAST_KEYS, ANCHOR = 300_000, 6
+#: Bits of the filter over anchors (16 MB).
+FILTER_BITS = 1 << 27
 
 
 def automaton(keys: list[tuple[str, int]], how: str = "overlapping", first: bool = False):
@@ -69,32 +72,55 @@ def find_by_automaton(docs: DataFrame, dictionary: DataFrame, key: str, text: st
     return docs.where(F.col(text).isNotNull()).select(key, text).mapInArrow(scan, _spans_schema(docs, key))
 
 
+def anchor_filter(anchors: DataFrame, most_bits: int = FILTER_BITS) -> np.ndarray:
+    """A filter over the checksums of distinct anchors, as 64-bit words: 16 bits an anchor, at most ``most_bits``; a text position it denies begins no key."""
+    bits = 1 << 10
+    n = anchors.count()
+    while bits < min(16 * n, most_bits):
+        bits *= 2
+    place = F.crc32(F.col("_anchor").cast("binary")).bitwiseAND(bits - 1)
+    set_bits = F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")
+    words = anchors.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(set_bits).toPandas()
+    filled = np.zeros(bits // 64, np.uint64)
+    filled[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return filled
+
+
 def find_by_anchor(docs: DataFrame, dictionary: DataFrame, key: str, text: str, anchor: int = ANCHOR) -> DataFrame:
     """Overlapping occurrences by a join: keys meet texts at their first ``anchor`` characters, and the rest is compared.
 
-    For dictionaries too large for one executor: it moves each text position once for each anchor length, spills, and needs no automaton. Each
-    position carries no more of its text than the longest key.
+    For dictionaries too large for one executor: it spills, and needs no automaton. A filter of bounded size, which goes to the
+    executors, drops nearly all positions where no key begins; those left move with no more of their text than the longest key.
     """
     keys = dictionary.select("surface_key", "surface_id", F.length("surface_key").alias("_n"), F.substring("surface_key", 1, anchor).alias("_anchor"))
     bounds = keys.agg(F.max("_n"), F.collect_set(F.length("_anchor"))).first()
     longest, lengths = bounds[0] or 0, sorted(bounds[1])
+    sent = docs.sparkSession.sparkContext.broadcast(anchor_filter(keys.select("_anchor").distinct()))
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value.view(np.uint8)
+        last = len(bits) * 8 - 1
         for batch in batches:
             for doc, t in zip(batch.column(0), batch.column(1).to_pylist()):
                 norm, starts, ends = normalize_spans(t)
-                for lo in range(0, len(norm), 5000):
-                    at = range(lo, min(len(norm), lo + 5000))
-                    window = pa.array([norm[i : i + longest] for i in at], pa.string())
-                    last = pa.array([ends[i : i + longest] for i in at], pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(at), batch.schema.field(0).type), window, pa.array(starts[lo : lo + len(at)], pa.int32()), last], names=[key, "_w", "start", "_ends"])
+                for lo in range(0, len(norm), 50_000):
+                    at = np.arange(lo, min(len(norm), lo + 50_000))
+                    kept, cuts = [], []
+                    for n in lengths:
+                        sums = np.fromiter((crc32(norm[i : i + n].encode()) & last for i in at), np.int64, len(at))
+                        here = at[(bits[sums >> 3] >> (sums & 7)) & 1 == 1]
+                        here = here[here + n <= len(norm)]
+                        kept.append(here)
+                        cuts += [norm[i : i + n] for i in here]
+                    kept = np.concatenate(kept) if kept else at[:0]
+                    if len(kept):
+                        columns = [pa.array(cuts, pa.string()), pa.array([norm[i : i + longest] for i in kept], pa.string()), pa.array(starts[kept], pa.int32()), pa.array([ends[i : i + longest] for i in kept], pa.list_(pa.int32()))]
+                        yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(kept), batch.schema.field(0).type), *columns], names=[key, "_anchor", "_w", "start", "_ends"])
 
     kind = docs.schema[key].dataType.simpleString()
-    spread = docs.where(F.col(text).isNotNull()).select(key, text).mapInArrow(positions, f"{key} {kind}, _w string, start int, _ends array<int>")
-    # A short anchor is a whole key: it must not meet the beginning of longer ones.
-    cuts = F.array(*[F.when(F.length("_w") >= n, F.substring("_w", 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
-    anchored = spread.withColumn("_anchor", F.explode(F.array_compact(cuts)))
-    met = anchored.join(keys, "_anchor").where(F.expr("substring(_w, 1, _n) = surface_key"))
+    # A short anchor is a whole key: it meets no longer ones, as anchors of other lengths differ.
+    spread = docs.where(F.col(text).isNotNull()).select(key, text).mapInArrow(positions, f"{key} {kind}, _anchor string, _w string, start int, _ends array<int>")
+    met = spread.join(keys, "_anchor").where(F.expr("substring(_w, 1, _n) = surface_key"))
     return met.select(key, "start", F.element_at("_ends", F.col("_n")).alias("end"), "surface_id")
 
 

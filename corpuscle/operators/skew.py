@@ -58,7 +58,7 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, share: float = HEAVY_
         if c != key and c in left.columns:
             renamed = renamed.withColumnRenamed(c, f"{c}_right")
     heavy = F.broadcast(heavy_keys(left, key, share))
-    is_heavy = lambda df, how: df.join(heavy, df[key] == F.col("_heavy"), how)
+    is_heavy = lambda df, how: df.join(heavy, df[key] == heavy["_heavy"], how)
     partner, fits = small(is_heavy(renamed, "left_semi"), most)
     hot = is_heavy(left, "left_semi")
     if fits:

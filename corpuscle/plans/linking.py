@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from corpuscle.functions import text as T
 from corpuscle.functions.normalize import normalized, normalized_spans
 from corpuscle.operators import checks, dictionary, matching
 from corpuscle.plans.linking_sql import ORACLES  # noqa: F401
-from corpuscle.session import shared_dir, table
+from corpuscle.session import scratch, table
 from corpuscle.sources import dumps, tables
 from corpuscle.streaming import sessions
 
@@ -19,10 +17,6 @@ WIKIS = ("enwiki", "dewiki")
 SHARD = 1_000
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # Inputs in the shape of the dumps, rendered from the tables.
 
 
@@ -36,14 +30,14 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _page_dump(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark, "dump-page")
+    path = scratch(spark, "dump-page")
     rows = _pages(spark, d).select("page_id", F.when(F.col("page_id") % 10 == 9, 1).otherwise(0).alias("namespace"), "title", F.lit(0).alias("redirect"))
     dumps.write_insert_values(rows, path, "page")
     return dumps.read_page(spark, path)
 
 
 def _props_dump(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark, "dump-page-props")
+    path = scratch(spark, "dump-page-props")
     pages = _pages(spark, d)
     items = pages.where("qid is not null").select("page_id", F.lit("wikibase_item").alias("propname"), T.qid_text(F.col("qid")).alias("value"))
     lists = pages.where("is_disambiguation").select("page_id", F.lit("disambiguation"), F.lit(""))
@@ -58,7 +52,7 @@ def _joined_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def _redirect_dump(spark: SparkSession, d: str) -> DataFrame:
     """Each page leads to the title of the next one of its wiki."""
-    path = _folder(spark, "dump-redirect")
+    path = scratch(spark, "dump-redirect")
     follow = F.lead("title").over(Window.partitionBy("wiki").orderBy("page_id"))
     rows = _pages(spark, d).select("page_id", F.when(F.col("page_id") % 7 == 0, 4).otherwise(0).alias("namespace"), follow.alias("target")).where("target is not null")
     dumps.write_insert_values(rows, path, "redirect")
@@ -71,7 +65,7 @@ def _with_wiki(rows: DataFrame, key: str) -> DataFrame:
 
 def _entities(spark: SparkSession, d: str) -> DataFrame:
     """Entity dump of the delivered dictionary: an entity's keys as labels, aliases and sitelinks."""
-    path = _folder(spark, "dump-entities")
+    path = scratch(spark, "dump-entities")
     edges = tables.delivered(table(spark, d, "surface_qids"))
     flags = _flags(spark, d).where(F.col("flags").bitwiseAND(1) == 1).select("qid", F.lit("Q4167410").alias("kind"))
     label = lambda c: F.struct(c.alias("value"))
@@ -135,13 +129,13 @@ def tsv_escapes(spark, d):
 
 
 def tsv_roundtrip(spark, d):
-    path = _folder(spark, "surfaces-tsv")
+    path = scratch(spark, "surfaces-tsv")
     tables.write_surfaces_tsv(_surfaces(spark, d), path)
     return tables.read_surfaces_tsv(spark, path)
 
 
 def flags_roundtrip(spark, d):
-    path = _folder(spark, "flags-tsv")
+    path = scratch(spark, "flags-tsv")
     tables.write_flags_tsv(_flags(spark, d), path)
     return tables.read_flags_tsv(spark, path)
 
@@ -314,7 +308,7 @@ def _matches_of(lines: DataFrame) -> DataFrame:
 def stream_sessions(spark, d):
     """The same through Structured Streaming: micro-batches of files, state by session, answers appended to a table."""
     known = dictionary.attach_flags(_dictionary(spark, d), _flags(spark, d))
-    source, out, point = (_folder(spark, x) for x in ("messages", "answers", "stream-state"))
+    source, out, point = (scratch(spark, x) for x in ("messages", "answers", "stream-state"))
     messages = sessions.chunks_of(table(spark, d, "documents"))
     late = F.col("seq") >= 3
     for part in (messages.where(~late), messages.where(late)):  # two deliveries, so that state is carried over

@@ -64,7 +64,9 @@ def test_a_blank_has_the_span_of_the_last_of_its_run():
 @given(st.text(max_size=40))
 def test_properties(text):
     key = normalize_key(text)
-    assert (normalize_spans(text)[0] or None) == key
+    norm, starts, ends = normalize_spans(text)
+    assert (norm or None) == key
+    assert [(c, int(a), int(b)) for c, a, b in zip(norm, starts, ends)] == Normalizer().feed(text)
     assert key is None or normalize_key(key) == key
     assert key is None or not any(unicodedata.category(c)[0] == "M" for c in key)
 
@@ -75,3 +77,4 @@ def test_chunks_change_nothing(text, cuts):
     cuts = sorted(min(c, len(text)) for c in cuts)
     parts = Normalizer()
     assert [x for a, b in zip([0, *cuts], [*cuts, len(text)]) for x in parts.feed(text[a:b])] == whole
+    assert [(c, int(a), int(b)) for c, a, b in zip(*normalize_spans(text))] == whole
