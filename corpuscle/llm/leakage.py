@@ -21,10 +21,14 @@ BITS, BLOCKS, RADIUS = 64, 4, 15
 LEAST_SHARE = 0.5
 #: Share of the item's words a passage must span, and what an altered word costs in the alignment (a kept one gives 1).
 LEAST_SPAN, ALTERED_COST = 0.5, 3
+#: Share of the passage's weight that must be kept, where a word weighs its rarity squared: sentences of the same frame keep the frame, but not the names, numbers and nouns.
+LEAST_WEIGHT = 0.77
 #: Items compared at once; more are taken in blocks.
 BLOCK_ITEMS = 1_000
 
 _WORD = re.compile(r"[^\W_]+")
+_JOINTS = re.compile(r"(?<=[^\W_])['’‘ʼ-](?=[^\W_])")
+_MARKS = re.compile(r"\[\s*[0-9]{1,3}\s*\]|[(\[]\s*sic\s*!?\s*[)\]]")
 
 
 class _Fold(dict):
@@ -40,8 +44,11 @@ _FOLD = _Fold()
 
 
 def words_of(text: str) -> list[str]:
-    """The words of a text without case, accents, width, look-alike letters, signs without ink and punctuation."""
-    return _WORD.findall(text.translate(_FOLD))
+    """The words of a text without case, accents, width, look-alike letters, signs without ink and punctuation.
+
+    Hyphens and apostrophes within a word vanish, as copies often drop them; footnote numbers and "sic" in brackets are marks, not words.
+    """
+    return _WORD.findall(_JOINTS.sub("", _MARKS.sub(" ", text.translate(_FOLD))))
 
 
 def window_size(n_words: int) -> int:
@@ -68,17 +75,20 @@ class _Vectors(dict):
 _VECTORS = _Vectors()
 
 
-def fingerprints(bits: np.ndarray, size: int, at: np.ndarray, step: int = 1 << 16) -> np.ndarray:
-    """SimHash of the windows of ``size`` words that start at the ascending places ``at``: of the words' 64-bit hashes, the bits set in more than half."""
+def fingerprints(bits: np.ndarray, weights: np.ndarray, size: int, at: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """SimHash of the windows of ``size`` words that start at the ascending places ``at``: of the words' 64-bit hashes, the bits set in more than half by weight (small whole numbers)."""
     prints = np.zeros(len(at), np.uint64)
     for lo in range(0, len(bits), step):
         i, j = np.searchsorted(at, [lo, lo + step])
         if i < j:
-            ones = np.unpackbits(bits[lo : lo + step + size].view(np.uint8).reshape(-1, 8), axis=1)
-            sums = np.zeros((len(ones) + 1, BITS), np.int32)
-            np.cumsum(ones, axis=0, out=sums[1:])
+            heavy = weights[lo : lo + step + size].astype(np.uint8)
+            ones = np.unpackbits(bits[lo : lo + step + size].view(np.uint8).reshape(-1, 8), axis=1) * heavy[:, None]
+            sums = np.zeros((len(ones) + 1, BITS + 1), np.int32)
+            np.cumsum(ones, axis=0, out=sums[1:, :BITS])
+            np.cumsum(heavy, out=sums[1:, BITS])
             here = at[i:j] - lo
-            prints[i:j] = np.packbits((sums[here + size] - sums[here]) * 2 > size, axis=1).view(np.uint64).ravel()
+            inside = sums[here + size] - sums[here]
+            prints[i:j] = np.packbits(inside[:, :BITS] * 2 > inside[:, BITS:], axis=1).view(np.uint64).ravel()
     return prints
 
 
@@ -128,14 +138,16 @@ class Items:
             spread.update(set(w))
         for x in spread:
             self.number[x] = len(self.number)
-        self.weight = np.array([math.log(1 + len(texts) / n) for n in spread.values()])
+        # Rare words count more: in comparisons as they are, in fingerprints in steps from 1 to 8; words of no item as the rarest.
+        self.weight = np.array([math.log(len(texts) / n) + 0.02 for n in spread.values()])
+        self.steps = np.append(np.ceil(8 * self.weight / max(self.weight, default=1)), 8).astype(np.int64)
         self.coded = [np.array([self.number[x] for x in w], np.int64) for w in self.words]
         by_size: dict[int, list[tuple[int, int, np.uint64]]] = {}
         for k, w in enumerate(self.words):
             half = math.ceil(len(w) / 2)
             size = min(half, window_size(len(w)))
             at = np.arange(0, len(w) - size + 1, max(1, (half - size) // 2))
-            prints = fingerprints(np.array([_VECTORS[x] for x in w], np.uint64), size, at)
+            prints = fingerprints(np.array([_VECTORS[x] for x in w], np.uint64), self.steps[self.coded[k]], size, at)
             by_size.setdefault(size, []).extend(zip([k] * len(at), at.tolist(), prints))
         self.by_size = {}
         for size, found in sorted(by_size.items()):
@@ -161,7 +173,7 @@ class Items:
             need = LEAST_SHARE * weights.sum(1)
             most = known[size:] - known[:-size]  # what a window can share with any item's window
             at = np.flatnonzero((doc_of[: len(most)] == doc_of[size - 1 :]) & (most >= need.min() - 1e-6))
-            here, stored = index.within(fingerprints(bits, size, at))
+            here, stored = index.within(fingerprints(bits, self.steps[coded], size, at))
             at = at[here]
             may = most[at] >= need[stored] - 1e-6
             at, stored = at[may], stored[may]
@@ -176,37 +188,42 @@ class Items:
             n, lo, hi = len(self.words[k]), starts[doc], starts[doc] + lengths[doc]
             at.sort()
             groups = np.split(np.array(at), np.flatnonzero(np.diff(at) > 2 * n) + 1)
-            if any(spans(self.coded[k], coded[max(lo, g[0] - 2 * n) : min(hi, g[-1] + 2 * n)]) for g in groups):
+            weights = self.weight[self.coded[k]] ** 2
+            if any(spans(self.coded[k], coded[max(lo, g[0] - 2 * n) : min(hi, g[-1] + 2 * n)], weights) for g in groups):
                 found.append((doc, k))
         return found
 
 
-def spans(item: np.ndarray, place: np.ndarray) -> bool:
-    """Whether the best local alignment (kept words 1, altered, missing and extra ones minus ``ALTERED_COST``) spans ``LEAST_SPAN`` of the item.
+def spans(item: np.ndarray, place: np.ndarray, weights: np.ndarray) -> bool:
+    """Whether a local alignment of the words of a place with those of an item holds a passage of it.
 
-    Scores are held with the first item word of their region, so that one pass over the item is enough.
+    Of the alignment (kept words 1, altered, missing and extra ones minus ``ALTERED_COST``) each better region is looked at: it must span ``LEAST_SPAN`` of the item's
+    words, and its kept words must have ``LEAST_WEIGHT`` of the weight of those it spans. Scores are held with the first item
+    word and the kept weight of their region, so that one pass over the item is enough.
     """
     m = len(place)
     ramp = np.arange(m + 1) * ALTERED_COST
-    score, first = np.zeros(m + 1), np.zeros(m + 1, np.int64)
-    best, span = 0.0, 0
+    score, first, kept = np.zeros(m + 1), np.zeros(m + 1, np.int64), np.zeros(m + 1)
+    before = np.concatenate([[0.0], np.cumsum(weights)])
+    best = 0.0
     for i, word in enumerate(item):
-        step = np.zeros(m + 1)
-        step[1:] = score[:-1] + np.where(place == word, 1, -ALTERED_COST)
-        begun = np.full(m + 1, i)
+        same = place == word
+        step, begun, held = np.zeros(m + 1), np.full(m + 1, i), np.zeros(m + 1)
+        step[1:] = score[:-1] + np.where(same, 1, -ALTERED_COST)
         begun[1:] = np.where(score[:-1] > 0, first[:-1], i)
+        held[1:] = np.where(score[:-1] > 0, kept[:-1], 0.0) + weights[i] * same
         down = score - ALTERED_COST
         use = down > step
-        step, begun = np.where(use, down, step), np.where(use, first, begun)
+        step, begun, held = np.where(use, down, step), np.where(use, first, begun), np.where(use, kept, held)
         rise = step + ramp
         source = np.maximum.accumulate(np.where(rise == np.maximum.accumulate(rise), np.arange(m + 1), 0))
         score = np.maximum(rise[source] - ramp, 0)
-        first = begun[source]
+        first, kept = begun[source], held[source]
         top = int(score.argmax())
         if score[top] > best:
-            best, span = score[top], i - first[top] + 1
-        if span >= LEAST_SPAN * len(item):
-            return True
+            best = score[top]
+            if i - first[top] + 1 >= LEAST_SPAN * len(item) and kept[top] >= LEAST_WEIGHT * (before[i + 1] - before[first[top]]):
+                return True
     return False
 
 
@@ -217,10 +234,10 @@ def leaked_items(docs: DataFrame, items: DataFrame, radius: int = RADIUS, block_
     table with a null id, and null, empty or wordless texts, hold and are nothing; a repeated id counts once. Texts are taken
     whole. Empty tables give an empty result, and other columns are ignored.
 
-    Method: windows of all texts, sized by the items (0.7 to 0.85 of half an item), at every word, get 64-bit SimHash fingerprints of their words. A
+    Method: windows of all texts, sized by the items (0.7 to 0.85 of half an item), at every word, get 64-bit SimHash fingerprints of their words, rare ones weighing up to 8 times as much as common ones. A
     multi-index over the items' windows (every second word or so, so that any half of an item holds several) finds every pair within ``radius`` bits: the 64 bits are 4 blocks, one of which must lie within
     radius // 4. Pairs whose window shares at least half of the item window's words, weighted by rarity among items, are
-    aligned exactly; windows whose words, all counted, weigh too little to share half with any item are not looked up. A shingle is a single word here, as one word in ten may be altered; with five words, half of the shingles
+    aligned exactly, and the aligned passage must keep most of its weight; windows whose words, all counted, weigh too little to share half with any item are not looked up. A shingle is a single word here, as one word in ten may be altered; with five words, half of the shingles
     of a true passage would be gone. The corpus is read once a block of items and not shuffled but for the distinct result; items, not
     documents, go to the executors, at most ``block_items`` at a time.
     """

@@ -48,6 +48,20 @@ def test_forms_of_characters(spark):
     assert leaked(spark, [], items) == set() and leaked(spark, docs, []) == set()
 
 
+def test_frames_and_marks(spark):
+    def item(a, b, c, n):
+        return f"{a} garde {n} pièces pour les {b} dans un bocal de {c} mais les {b}eurs ne dépassaient jamais le nombre de {n + 9} et seul {c}a savait lequel pesait davantage"
+
+    items = [(k, item(*(f"{w}{k}" for w in ("nom", "chose", "lieu")), 100 + k)) for k in range(20)]
+    docs = [
+        (100, "x y z " + item("autre", "rien", "ailleurs", 7) + " x y", ""),
+        (3, items[3][1].replace("pièces pour", "pièces (sic) pour [12]").replace("dans un", "* dans -- un"), ""),
+        (200, "How many: combien en reste-t-il le soir si l'on compte Pofa Pehu aussi, de nos jours encore?".replace("-", "").replace("'", ""), ""),
+    ]
+    items.append((50, "Combien en reste-t-il le soir si l'on compte Pofa Pehu aussi, de nos jours encore?"))
+    assert leaked(spark, docs, items) == {(3, 3), (200, 50)}
+
+
 def test_blocks_of_items(spark):
     d = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(ITEMS)], "doc_id long, text string")
     i = d.selectExpr("doc_id as item_id", "text")
@@ -70,10 +84,12 @@ def test_index_misses_nothing(radius, print_, bits):
 def test_fingerprints_by_step(words, size, step):
     bits = np.array([leakage._VECTORS[str(w)] for w in words], np.uint64)
     at = np.arange(0, len(words) - size + 1)
-    got = leakage.fingerprints(bits, size, at, step).tolist()
-    want = [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in bits[i : i + size]) > size) for i in at]
-    order = lambda x: sum((x >> b & 1) << (b // 8 * 8 + 7 - b % 8) for b in range(64))
-    assert [order(x) for x in got] == want or got == want
+    weights = np.array([1 + w % 8 for w in words])
+    got = leakage.fingerprints(bits, weights, size, at, step).tolist()
+    part = lambda x, i: x[i : i + size].tolist()
+    want = [sum(1 << b for b in range(64) if 2 * sum((x >> b & 1) * w for x, w in zip(part(bits, i), part(weights, i))) > sum(part(weights, i))) for i in at]
+    swapped = lambda x: sum((x >> b & 1) << (b // 8 * 8 + 7 - b % 8) for b in range(64))
+    assert got == want or [swapped(x) for x in got] == want
 
 
 def brute_span(item, place):
@@ -93,10 +109,10 @@ def brute_span(item, place):
 @settings(deadline=None)
 @given(st.lists(st.integers(0, 5), min_size=1, max_size=14), st.lists(st.integers(0, 5), max_size=20))
 def test_spans_need_a_good_alignment(item, place):
-    if leakage.spans(np.array(item), np.array(place, np.int64)):
+    if leakage.spans(np.array(item), np.array(place, np.int64), np.ones(len(item))):
         assert brute_span(item, place) >= 1
     if len(item) >= 2 and any(place[i : i + len(item)] == item for i in range(len(place))):
-        assert leakage.spans(np.array(item), np.array(place))
+        assert leakage.spans(np.array(item), np.array(place), np.ones(len(item)))
 
 
 @pytest.mark.parametrize("n,size", [(1, 1), (30, 11), (36, 14), (70, 28), (200, 69)])
