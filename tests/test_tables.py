@@ -116,3 +116,21 @@ def test_skew_join(spark, most):
     got = skew.skew_join(edges(spark), right, "key", most=most)
     assert got.columns == ["key", "qid", "qid_right"]
     assert got.groupBy("key", "qid_right").count().orderBy("key", "qid_right").collect() == [("hot", 1, 605), ("hot", 2, 605), ("k1", 3, 1)]
+
+
+def shuffles(df):
+    """Shuffles of a plan, without those below what is kept in memory."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("Exchange hash" in line or "Exchange range" in line or "Exchange Round" in line for line in plan.split("InMemoryRelation")[0].splitlines())
+
+
+def test_snapshots_shuffle_once(spark):
+    rows = [("en", d, k, "t", k, 0) for d in ("1", "2") for k in range(50)]
+    assert shuffles(snapshots.snapshot_changes(pages(spark, rows))) == 1
+
+
+def test_no_product_of_rows(spark):
+    refs = spark.createDataFrame([("20260101", 1)], "dump_date string, qid long")
+    flags = spark.createDataFrame([("Q1", "20260101", None)], "qid string, valid_from string, valid_to string")
+    plan = references.orphan_references({"page": refs}, flags)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
