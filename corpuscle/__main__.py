@@ -1,9 +1,10 @@
-"""Command line: python -m corpuscle normalize | match | status | doctor | targets | preprocess | compile | version."""
+"""Command line: python -m corpuscle normalize | match | serve | status | doctor | targets | preprocess | compile | version."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from corpuscle import __version__
@@ -92,6 +93,22 @@ def compile_(args: argparse.Namespace) -> int:
     return 0
 
 
+def serve(args: argparse.Namespace) -> int:
+    """Answer over HTTP and WebSocket until interrupted."""
+    from corpuscle import pipeline
+    from corpuscle.streaming.service import Service
+
+    host, _, port = args.bind.rpartition(":")
+    service = Service(pipeline.open_runtime(_session(), args.data_dir), (host, int(port)))
+    print(f"listening on http://{host}:{service.server_address[1]}", file=sys.stderr)
+    try:
+        service.serve_forever()
+    except KeyboardInterrupt:
+        service.stopping.set()
+        service.server_close()
+    return 0
+
+
 def version(args: argparse.Namespace) -> int:
     print(__version__)
     return 0
@@ -117,6 +134,7 @@ def parser() -> argparse.ArgumentParser:
     wikis, date = ("--wikis", {"type": _list, "default": ["zhwiki", "enwiki"]}), ("--date", {"default": "latest"})
     command("normalize", normalize, text)
     command("match", match, text, data, ("--exclude-disambiguation", {"action": "store_true"}), ("--max-candidates-per-surface", {"type": int}))
+    command("serve", serve, data, ("--bind", {"default": os.environ.get("CORPUSCLE_BIND", "127.0.0.1:8719")}))
     command("status", status, data)
     command("doctor", doctor, data)
     command("targets", targets, ("--out", {"default": "data/dumps"}), wikis, ("--components", {"type": _list, "default": list(COMPONENTS)}), date)
@@ -127,8 +145,6 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> int:
-    import os
-
     args = parser().parse_args(argv)
     if hasattr(args, "data_dir"):
         args.data_dir = args.data_dir or os.environ.get("CORPUSCLE_DATA_DIR")
