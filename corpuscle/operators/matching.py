@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +13,8 @@ from corpuscle.functions.normalize import normalize_spans
 from corpuscle.operators.automaton import LEFTMOST_FIRST, LEFTMOST_LONGEST, STANDARD, Matcher, find
 from corpuscle.session import small
 
-#: Keys up to which the dictionary goes to the executors as one automaton, and characters of the anchor beyond that.
-BROADCAST_KEYS, ANCHOR = 300_000, 6
+#: Keys up to which the dictionary goes to the executors as one automaton, and the anchor lengths beyond that: a key meets texts at the longest that it has.
+BROADCAST_KEYS, ANCHORS = 300_000, (24, 12, 6, 3)
 #: Bits of the filter over anchors (16 MB).
 FILTER_BITS = 1 << 27
 
@@ -72,53 +71,85 @@ def find_by_automaton(docs: DataFrame, dictionary: DataFrame, key: str, text: st
     return docs.where(F.col(text).isNotNull()).select(key, text).mapInArrow(scan, _spans_schema(docs, key))
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def rolling_hashes(points: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of the ascending ``lengths`` a hash of the so many code points from each place on, where there are so many; rows of a matrix are texts of their own."""
+    total = np.zeros(points.shape, np.uint64)
+    for n in range(1, max(lengths, default=0) + 1):
+        if n > points.shape[-1]:
+            return
+        total = total[..., : points.shape[-1] - n + 1] * np.uint64(1_000_003) + points[..., n - 1 :]
+        if n in lengths:
+            mixed = (total ^ (total >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+            yield n, mixed ^ (mixed >> np.uint64(29))
+
+
 def anchor_filter(anchors: DataFrame, most_bits: int = FILTER_BITS) -> np.ndarray:
-    """A filter over the checksums of distinct anchors, as 64-bit words: 16 bits an anchor, at most ``most_bits``; a text position it denies begins no key."""
+    """A filter over the hashes of distinct anchors, as 64-bit words: 16 bits an anchor, at most ``most_bits``; a text position it denies begins no key."""
     bits = 1 << 10
     n = anchors.count()
     while bits < min(16 * n, most_bits):
         bits *= 2
-    place = F.crc32(F.col("_anchor").cast("binary")).bitwiseAND(bits - 1)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by_length: dict[int, list[str]] = {}
+            for text in batch.column(0).to_pylist():
+                by_length.setdefault(len(text), []).append(text)
+            for length, texts in by_length.items():
+                points = code_points("".join(texts)).reshape(-1, length)
+                hashes = next(rolling_hashes(points, [length]))[1].ravel()
+                yield pa.RecordBatch.from_arrays([pa.array((hashes & np.uint64(bits - 1)).astype(np.int64))], names=["p"])
+
     set_bits = F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")
-    words = anchors.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(set_bits).toPandas()
+    words = anchors.select("_anchor").where("_anchor != ''").mapInArrow(places, "p long").groupBy(F.shiftright("p", 6).alias("word")).agg(set_bits).toPandas()
     filled = np.zeros(bits // 64, np.uint64)
     filled[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
     return filled
 
 
-def find_by_anchor(docs: DataFrame, dictionary: DataFrame, key: str, text: str, anchor: int = ANCHOR) -> DataFrame:
-    """Overlapping occurrences by a join: keys meet texts at their first ``anchor`` characters, and the rest is compared.
+def find_by_anchor(docs: DataFrame, dictionary: DataFrame, key: str, text: str, anchors: tuple[int, ...] = ANCHORS) -> DataFrame:
+    """Overlapping occurrences by a join: keys meet texts at their first characters, and the rest is compared.
 
-    For dictionaries too large for one executor: it spills, and needs no automaton. A filter of bounded size, which goes to the
+    For dictionaries too large for one executor: it spills, and needs no automaton. The longer a key, the longer its anchor, so that
+    few keys share one; AQE splits what is still frequent. A filter of bounded size, which goes to the
     executors, drops nearly all positions where no key begins; those left move with no more of their text than the longest key.
     """
-    keys = dictionary.select("surface_key", "surface_id", F.length("surface_key").alias("_n"), F.substring("surface_key", 1, anchor).alias("_anchor"))
+    n = F.length("surface_key")
+    cut = F.coalesce(*[F.when(n >= a, a) for a in sorted(anchors, reverse=True)], n)
+    keys = dictionary.select("surface_key", "surface_id", n.alias("_n"), F.left("surface_key", cut).alias("_anchor"))
     bounds = keys.agg(F.max("_n"), F.collect_set(F.length("_anchor"))).first()
     longest, lengths = bounds[0] or 0, sorted(bounds[1])
     sent = docs.sparkSession.sparkContext.broadcast(anchor_filter(keys.select("_anchor").distinct()))
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value.view(np.uint8)
-        last = len(bits) * 8 - 1
+        words = sent.value
+        last = np.uint64(len(words) * 64 - 1)
         for batch in batches:
-            for doc, t in zip(batch.column(0), batch.column(1).to_pylist()):
+            kind, rows = batch.schema.field(0).type, []
+
+            def flush(rows=rows, kind=kind) -> pa.RecordBatch:
+                columns = zip(*rows)
+                rows.clear()
+                kinds = (kind, pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()))
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[key, "_anchor", "_w", "start", "_ends"])
+
+            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 norm, starts, ends = normalize_spans(t)
-                for lo in range(0, len(norm), 50_000):
-                    at = np.arange(lo, min(len(norm), lo + 50_000))
-                    kept, cuts = [], []
-                    for n in lengths:
-                        sums = np.fromiter((crc32(norm[i : i + n].encode()) & last for i in at), np.int64, len(at))
-                        here = at[(bits[sums >> 3] >> (sums & 7)) & 1 == 1]
-                        here = here[here + n <= len(norm)]
-                        kept.append(here)
-                        cuts += [norm[i : i + n] for i in here]
-                    kept = np.concatenate(kept) if kept else at[:0]
-                    if len(kept):
-                        columns = [pa.array(cuts, pa.string()), pa.array([norm[i : i + longest] for i in kept], pa.string()), pa.array(starts[kept], pa.int32()), pa.array([ends[i : i + longest] for i in kept], pa.list_(pa.int32()))]
-                        yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(kept), batch.schema.field(0).type), *columns], names=[key, "_anchor", "_w", "start", "_ends"])
+                for n, hashes in rolling_hashes(code_points(norm), lengths):
+                    place = hashes & last
+                    for i in np.flatnonzero((words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).tolist():
+                        rows.append((doc, norm[i : i + n], norm[i : i + longest], int(starts[i]), ends[i : i + longest]))
+                        if len(rows) >= 5000:
+                            yield flush()
+            if rows:
+                yield flush()
 
     kind = docs.schema[key].dataType.simpleString()
-    # A short anchor is a whole key: it meets no longer ones, as anchors of other lengths differ.
+    # Anchors of different lengths differ, so a key is met once at each place.
     spread = docs.where(F.col(text).isNotNull()).select(key, text).mapInArrow(positions, f"{key} {kind}, _anchor string, _w string, start int, _ends array<int>")
     met = spread.join(keys, "_anchor").where(F.expr("substring(_w, 1, _n) = surface_key"))
     return met.select(key, "start", F.element_at("_ends", F.col("_n")).alias("end"), "surface_id")

@@ -239,3 +239,12 @@ def test_stage_counts(spark):
     entities = spark.read.schema(dumps.ENTITY).json(spark.sparkContext.parallelize([json.dumps(ENTITY)]))
     got = {r.stage: r.n for r in dictionary.stage_counts(pages, pages.limit(0), entities, ["enwiki"]).collect()}
     assert got == {"pages": 2, "pages_with_qid": 1, "disambiguation_pages": 1, "redirect_surfaces": 0, "entities": 1, "entity_surfaces": 3}
+
+
+def test_rolling_hashes():
+    text = "abc\U0001f600abcab" * 7
+    for n, hashes in matching.rolling_hashes(matching.code_points(text), [1, 3, 6]):
+        parts = [text[i : i + n] for i in range(len(text) - n + 1)]
+        alone = [int(next(matching.rolling_hashes(matching.code_points(p), [n]))[1][0]) for p in parts]
+        assert hashes.tolist() == alone and len(set(alone)) == len(set(parts))
+    assert list(matching.rolling_hashes(matching.code_points("ab"), [3])) == [] and list(matching.rolling_hashes(matching.code_points("ab"), [])) == []
