@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +16,28 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a session, so that their Python workers can import it wherever they run.
+
+    Not needed where the package is installed on the executors or passed by ``--py-files``; harmless then.
+    """
+    context, package = spark.sparkContext, Path(__file__).resolve().parent
+    if context.applicationId in _SHIPPED or not package.is_dir():
+        return
+    _SHIPPED.add(context.applicationId)
+    archive = Path(tempfile.mkdtemp(prefix="corpuscle-")) / "corpuscle.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))  # the driver serves it from its own copy
+
+
 def local_session(cpus: int = 8, memory: str = "8g", name: str = "corpuscle") -> SparkSession:
     """A local session for tests and benches; on a cluster the caller brings the session."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.driver.memory", memory)
@@ -28,6 +49,8 @@ def local_session(cpus: int = 8, memory: str = "8g", name: str = "corpuscle") ->
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
