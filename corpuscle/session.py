@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -17,6 +19,7 @@ BROADCAST_ROWS = 200_000
 
 
 _SHIPPED: set[str] = set()
+_OWN: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -28,7 +31,9 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _SHIPPED or not package.is_dir():
         return
     _SHIPPED.add(context.applicationId)
-    archive = Path(tempfile.mkdtemp(prefix="corpuscle-")) / "corpuscle.zip"
+    folder = tempfile.mkdtemp(prefix="corpuscle-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "corpuscle.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for source in sorted(package.rglob("*.py")):
             z.write(source, source.relative_to(package.parent))
@@ -62,8 +67,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = "file://" + os.path.join(tempfile.gettempdir(), f"corpuscle-{spark.sparkContext.applicationId}")
-        spark.sparkContext.setCheckpointDir(named)
+        own = os.path.join(tempfile.gettempdir(), f"corpuscle-{spark.sparkContext.applicationId}")
+        named = f"file://{own}"
+        if own not in _OWN:
+            _OWN.add(own)
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
