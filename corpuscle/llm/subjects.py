@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections import Counter
@@ -10,22 +9,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
-from pyspark.ml.linalg import Vectors
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscle.llm import topics as lda
 from corpuscle.llm.lookalike import pieces_of
 from corpuscle.session import materialize, small
 
 #: Terms kept, the least share of documents (and number of them) a term must occur in, and the most that a term of the topic models may.
 TERMS, LEAST_SHARE, LEAST_DOCS, MOST_SHARE = 20_000, 0.0005, 4, 0.2
-#: Topics; passes over all documents: one, and more where they are few, until so many were seen, but at most so many passes.
-TOPICS, SEEN, MOST_PASSES = 40, 40_000, 20
-#: Documents in a step of the fit, as far as that lies between these shares of all.
-STEP_DOCS, LEAST_STEP, MOST_STEP = 4_000, 0.02, 0.2
+#: Topics; the passes of their fit are those of `topics.py`.
+TOPICS = 40
 #: Share of a topic from which it speaks for a subject, and how many labelled documents the whole corpus counts as for a term.
 OF_TOPIC, FREE = 0.3, 8
 #: Rounds in which terms are counted again by the subjects of their sentences.
@@ -201,6 +195,24 @@ def neighbours(sents: DataFrame, is_thing: np.ndarray) -> dict[tuple[int, int],
     return {(r.a, r.top.b): r.top.n for r in strongest.toLocalIterator()}
 
 
+def modelled_words(sents: DataFrame, place: np.ndarray, parts: int = lda.PARTS) -> DataFrame:
+    """(``doc_id``, ``words``, ``part``): each document's distinct terms of the topic models, by ``place``, and its part of the corpus."""
+    sent = sents.sparkSession.sparkContext.broadcast(np.append(place, -1))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, of, row = _flat(batch.column(1))
+            at = sent.value[words]
+            pairs = np.unique(row[of[at >= 0]].astype(np.int64) << 32 | at[at >= 0])
+            ends = np.searchsorted(pairs >> 32, np.arange(batch.num_rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pairs & 0xFFFFFFFF, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "words"])
+
+    kind = sents.schema["doc_id"].dataType.simpleString()
+    words = sents.select("doc_id", "sents").mapInArrow(look, f"doc_id {kind}, words array<int>")
+    return words.withColumn("part", F.pmod(F.xxhash64("doc_id", "words"), F.lit(parts)).cast("int"))
+
+
 class SubjectTerms:
     """The terms that stand for things of a subject: ``units`` numbers the thing of each term, ``belongs`` and ``alone`` say to which subjects."""
 
@@ -226,29 +238,23 @@ def learn(docs: DataFrame, labels: DataFrame, topics: int = TOPICS, rounds: int
     if not subjects or len(modelled) < topics:
         return empty, sents
 
-    words = F.transform(F.array_distinct(F.flatten("sents")), lambda x: x.cast("string"))
-    counts = CountVectorizerModel.from_vocabulary([str(i) for i in modelled], "words", "raw")
-    counts.setBinary(True)
-    weights = ElementwiseProduct(scalingVec=Vectors.dense(np.log(n_docs / n[modelled]).clip(0.1)), inputCol="raw", outputCol="features")
-    features = materialize(weights.transform(counts.transform(sents.select("doc_id", words.alias("words")))).select("doc_id", "features"), "features").persist()
-    step, passes = min(MOST_STEP, max(LEAST_STEP, STEP_DOCS / n_docs)), max(1, min(MOST_PASSES, SEEN / n_docs))
-    model = LDA(
-        k=topics, maxIter=math.ceil(passes / step), subsamplingRate=step, optimizer="online", seed=seed, docConcentration=[0.1], topicConcentration=0.02, optimizeDocConcentration=False
-    ).fit(features)
+    place = np.full(len(terms), -1)
+    place[modelled] = np.arange(len(modelled))
+    features = materialize(modelled_words(sents, place), "features").persist()
+    weights = np.log(n_docs / n[modelled]).clip(0.1)
+    fitted, _ = lda.fit(features, weights, topics, seed)
 
     # Topics to subjects: what share of the labelled documents' topic proportions falls to each subject, subjects being alike in number.
-    seen = model.transform(features.join(asked, "doc_id")).groupBy("subject").agg(Summarizer.mean(F.col("topicDistribution")).alias("mean"), F.count("*").alias("n")).collect()
+    seen = {s: x for s, x in lda.proportions(features.join(asked, "doc_id"), fitted, weights).items() if s in classes}
     features.unpersist()
-    seen = [r for r in seen if r.subject in classes]
-    usual = sum(r["mean"].toArray() * r["n"] for r in seen) / max(1, sum(r["n"] for r in seen))
+    usual = sum(mean * k for mean, k in seen.values()) / max(1, sum(k for _, k in seen.values()))
     of_topic = np.tile(usual + 1e-6, (len(classes), 1))
-    for r in seen:  # drawn to the usual proportions as by 5 more documents, for subjects with few labels
-        of_topic[classes.index(r.subject)] = (r["mean"].toArray() * r["n"] + 5 * usual) / (r["n"] + 5) + 1e-6
+    for s, (mean, k) in seen.items():  # drawn to the usual proportions as by 5 more documents, for subjects with few labels
+        of_topic[classes.index(s)] = (mean * k + 5 * usual) / (k + 5) + 1e-6
     of_topic /= of_topic.sum(0)
     of_topic[:-1][of_topic[:-1] < OF_TOPIC] = 0
     of_topic[-1] = 1 - of_topic[:-1].sum(0)
-    by_term = model.topicsMatrix().toArray().copy()
-    by_term /= by_term.sum(1, keepdims=True)
+    by_term = fitted.T / fitted.sum(0)[:, None]
     likely = np.tile(np.eye(len(classes))[-1], (len(terms), 1))
     likely[modelled] = by_term @ of_topic.T
 
@@ -313,7 +319,7 @@ def document_subjects(docs: DataFrame, labels: DataFrame, topics: int = TOPICS,
     terms to model, the result is empty. Null ids, and null, empty or wordless texts, give no row, a repeated row counts once more in the
     corpus and once in the result. Columns other than ``doc_id``, ``text`` and, if there, ``tgt_start`` are ignored.
 
-    Method: a latent Dirichlet model is fitted by online steps over all documents, in one pass or, if they are few, several; topics are
+    Method: a latent Dirichlet model is fitted by online steps over all documents, in as many passes at every size, each of which visits every document; topics are
     mapped to subjects by the topic proportions of the labelled documents, and terms by the topics they are strong in. As a single
     sentence decides, which a document's proportions cannot tell, the terms' subjects are then counted again over all sentences:
     a sentence has the subjects its terms speak for, weighed by those of its document. What stays with a subject in enough of
