@@ -155,7 +155,7 @@ def dump_targets(spark, d):
 
 
 def file_checksums(spark, d):
-    return tables.checksums(spark, f"{d}/eval_item.parquet")
+    return tables.checksums(spark, d)
 
 
 # Build

@@ -63,9 +63,12 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(``file``, ``md5``, ``bytes``) of the files under a path; a file is one row, so of at most 2 GB."""
+    """(``file``, ``md5``, ``bytes``) of the files under a path, named from there on; a file is one row, so of at most 2 GB."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.md5("content").alias("md5"), F.col("length").alias("bytes"))
+    name = F.when(F.col("path").startswith(root), F.substring("path", len(root) + 1, 1 << 30)).otherwise(F.element_at(F.split("path", "/"), -1))
+    return files.select(name.alias("file"), F.md5("content").alias("md5"), F.col("length").alias("bytes"))
 
 
 def delivered(rows: DataFrame) -> DataFrame:
