@@ -99,6 +99,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many parts as there are cores, for costly work on each row; what has as many already stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """``df`` marked for broadcast if it has at most ``most`` rows, with whether it is; else ``df`` for an ordinary join.
 
