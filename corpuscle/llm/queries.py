@@ -53,7 +53,11 @@ def p8_counts(spark: SparkSession, d: str) -> DataFrame:
     return subjects.subject_counts(p8_found(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_intervals, p4_found, p4_forms, p6_packing, p6_report, p7_found, p8_found, p8_counts)}
+def p8_topics(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.topic_terms(table(spark, d, "documents"), table(spark, d, "subject_label"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_intervals, p4_found, p4_forms, p6_packing, p6_report, p7_found, p8_found, p8_counts, p8_topics)}
 ORACLES = {
     "p2_found": """
 WITH v AS (SELECT 'surface_id' AS field_name, surface_id AS item FROM text_match WHERE surface_id IS NOT NULL

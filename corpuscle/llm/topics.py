@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Passes over all documents, and parts of the corpus (by hash, one step each) a pass goes through; the same at every size.
-PASSES, PARTS = 20, 5
+PASSES, PARTS = 4, 4
 #: Dirichlet parameters of documents and topics; offset and exponent of the learning rate.
 ALPHA, ETA = 0.1, 0.02
-OFFSET, DECAY = 1024, 0.51
+OFFSET, DECAY = 1, 0.6
 #: A document's proportions are settled when they change by less than this on average (of a weight of up to 100), or after so many rounds; padded words handled at once.
-SETTLED, ROUNDS, AREA = 1e-3, 200, 20_000
+SETTLED, ROUNDS, AREA = 2e-3, 60, 20_000
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -32,8 +32,8 @@ def expected(lam: np.ndarray) -> np.ndarray:
     return np.vstack([beta.T, np.zeros((1, len(lam)))]).astype(np.float32)
 
 
-def _mixtures(column: pa.ListArray, beta: np.ndarray, weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of documents of like length at a time: their rows, words (padded), topic parameters, exp(E[log]) of those, and weights over expected ones."""
+def _mixtures(column: pa.ListArray, beta: np.ndarray, weights: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of documents of like length at a time: their rows, words (padded), places of these in the flattened column, and exp(E[log]) of the topic parameters."""
     sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     flat = column.flatten().to_numpy(zero_copy_only=False)
     starts, order = np.cumsum(sizes) - sizes, np.argsort(sizes, kind="stable")
@@ -46,7 +46,8 @@ def _mixtures(column: pa.ListArray, beta: np.ndarray, weights: np.ndarray) -> It
         at -= len(rows)
         words = np.full((len(rows), longest), len(beta) - 1)
         inside = np.arange(longest) < sizes[rows][:, None]
-        words[inside] = flat[(starts[rows][:, None] + np.arange(longest))[inside]]
+        places = starts[rows][:, None] + np.arange(longest)
+        words[inside] = flat[places[inside]]
         of_words, count = beta[words], weights[words]
         total = count.sum(1)
         gamma = np.repeat((ALPHA + total / beta.shape[1])[:, None], beta.shape[1], axis=1)
@@ -64,20 +65,19 @@ def _mixtures(column: pa.ListArray, beta: np.ndarray, weights: np.ndarray) -> It
             if n_moving < 0.8 * len(live):
                 live = live[moves]
                 part, near, now = of_words[live], count[live], new[moves]
-        theta = np.exp(digamma(gamma))
-        yield rows, words, gamma, theta, count / (np.matmul(of_words, theta[:, :, None])[:, :, 0] + 1e-30)
+        yield rows, words, places, inside, np.exp(digamma(gamma))
 
 
-def fit(docs: DataFrame, weights: np.ndarray, topics: int, seed: int, passes: int = PASSES, parts: int = PARTS) -> tuple[np.ndarray, list[int]]:
-    """The topics' parameters (by topic and term) and how many documents each step read, ``parts`` steps a pass.
+def fit(docs: DataFrame, weights: np.ndarray, lam: np.ndarray, passes: int = PASSES, parts: int = PARTS) -> tuple[np.ndarray, list[int]]:
+    """The topics' parameters (by topic and term), from the first ones ``lam`` on, and how many documents each step read, ``parts`` steps a pass.
 
-    ``docs`` has ``words``, the distinct numbers of each document's terms, which index ``weights``, and ``part``, which a step takes whole. Documents without
-    words say nothing and are not counted. Sums by term meet on the executors; only those of the terms reach the driver.
+    ``docs`` has ``words``, the distinct numbers of each document's terms, which index ``weights``, and ``part``, which a step takes whole: a table written
+    by ``part`` is read once a pass. Documents without words say nothing and are not counted. Sums by term meet on the
+    executors; only those of the terms reach the driver.
     """
-    context, n_terms = docs.sparkSession.sparkContext, len(weights)
+    context, n_terms, topics = docs.sparkSession.sparkContext, len(weights), len(lam)
     sizes = dict(docs.where(F.size("words") > 0).groupBy("part").count().collect())
     n_docs, seen = sum(sizes.values()), []
-    lam = np.random.default_rng(seed).gamma(100, 0.01, (topics, n_terms))
     for step in range(passes * parts):
         if not (n := sizes.get(step % parts, 0)):
             seen.append(0)
@@ -87,9 +87,11 @@ def fit(docs: DataFrame, weights: np.ndarray, topics: int, seed: int, passes: in
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             beta, weights = sent.value
             sums, read = np.zeros((len(beta), topics)), 0
+            padded = np.append(weights, 0)
             for batch in batches:
-                for rows, words, _, theta, ratio in _mixtures(batch.column(0), beta, weights):
+                for rows, words, _, _, theta in _mixtures(batch.column(0), beta, weights):
                     read += len(rows)
+                    ratio = padded[words] / (np.matmul(beta[words], theta[:, :, None])[:, :, 0] + 1e-30)
                     order = np.argsort(words, axis=None, kind="stable")
                     flat = words.ravel()[order]
                     first = np.flatnonzero(np.diff(flat, prepend=-1))
@@ -125,18 +127,12 @@ def _by_term(t: np.ndarray, sums: np.ndarray, step: int = 5_000) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(t[lo : lo + step], pa.int32()), lists], names=["t", "n"])
 
 
-def proportions(docs: DataFrame, lam: np.ndarray, weights: np.ndarray) -> dict[str, tuple[np.ndarray, int]]:
-    """By ``subject``: the mean of the topic proportions of the documents (``words``), and their number; documents without words have none and count."""
-    sent, topics = docs.sparkSession.sparkContext.broadcast((expected(lam), weights)), len(lam)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            share = np.zeros((batch.num_rows, topics))
-            for rows, _, gamma, _, _ in _mixtures(batch.column(1), *sent.value):
-                share[rows] = gamma / gamma.sum(1, keepdims=True)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * topics, pa.int32()), pa.array(share.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["subject", "share"])
-
-    shares = docs.select("subject", "words").mapInArrow(count, "subject string, share array<double>")
-    sums = shares.groupBy("subject").agg(*[F.sum(F.col("share")[k]).alias(f"s{k}") for k in range(topics)], F.count("*").alias("n"))
-    return {r["subject"]: (np.array(r[1:-1]) / r["n"], r["n"]) for r in sums.collect()}
+def class_shares(column: pa.ListArray, beta: np.ndarray, weights: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """For each word of the flattened column what share of it falls to each class, by its document's topic proportions; ``classes`` says by topic and class where a topic counts."""
+    shares = np.zeros((len(column.flatten()), classes.shape[1]), np.float32)
+    classes = classes.astype(np.float32)
+    for _, words, places, inside, theta in _mixtures(column, beta, weights):
+        each = beta[words] * theta[:, None, :]
+        each /= each.sum(2, keepdims=True) + 1e-30
+        shares[places[inside]] = (each @ classes)[inside]
+    return shares
