@@ -32,17 +32,22 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_report(*_references(spark, d))
 
 
-def p5_keys(spark: SparkSession, d: str) -> DataFrame:
+def _profiles(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     edges = table(spark, d, "surface_source")
-    by_key = skew.key_profile(edges, "surface_key", "qid").withColumnRenamed("surface_key", "key_text")
-    by_qid = skew.key_profile(edges, "qid", "surface_key").withColumn("key_text", F.col("qid").cast("string"))
+    heavy, total = skew.all_heavy_keys(edges, ["surface_key", "qid"])
+    by_key = skew.key_profile(edges, "surface_key", "qid", heavy=heavy["surface_key"]).withColumnRenamed("surface_key", "key_text")
+    by_qid = skew.key_profile(edges, "qid", "surface_key", heavy=heavy["qid"]).withColumn("key_text", F.col("qid").cast("string"))
     said = lambda part, field: part.select(F.lit(field).alias("key_field"), "key_text", "n_rows", "n_partners")
-    return said(by_key, "surface_key").unionByName(said(by_qid, "qid"))
+    return said(by_key, "surface_key").unionByName(said(by_qid, "qid")), total
+
+
+def p5_keys(spark: SparkSession, d: str) -> DataFrame:
+    return _profiles(spark, d)[0]
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    total = table(spark, d, "surface_source").count()
-    return p5_keys(spark, d).where(F.col("n_rows") >= FOUND_SHARE * total).select("key_field", "key_text")
+    keys, total = _profiles(spark, d)
+    return keys.where(F.col("n_rows") >= FOUND_SHARE * total).select("key_field", "key_text")
 
 
 def p5_join(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,6 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,9 +63,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset a temporary one if all runs on this machine (tests), else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = os.path.join(tempfile.gettempdir(), f"corpuscle-{spark.sparkContext.applicationId}")
         named = f"file://{own}"
         if own not in _OWN:
@@ -108,10 +109,9 @@ def spread(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """``df`` marked for broadcast if it has at most ``most`` rows, with whether it is; else ``df`` for an ordinary join.
 
-    The rows are counted up to ``most`` + 1 and kept for the join, so the source is read once.
+    Up to ``most`` + 1 rows come to the driver, from where they are broadcast, so that the source is read once and nothing stays in the executors' memory.
     """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if kept.limit(most + 1).count() <= most:
-        return F.broadcast(kept), True
-    kept.unpersist()
+    got = df.limit(most + 1).toArrow()
+    if got.num_rows <= most:
+        return F.broadcast(df.sparkSession.createDataFrame(got, schema=df.schema)), True
     return df, False
