@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuscle.operators.skew import heavy_keys
 from corpuscle.session import small
 
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -38,8 +39,8 @@ def snapshot_changes(
 
     Method: each snapshot, sorted by key, is cut into chunks at keys whose hash says so, so that a chunk's bounds depend on what
     it holds and an added or removed key moves only the bounds beside it. Chunks with equal digests (two 64-bit sums and the
-    count) on both sides are discarded; the rows of the rest meet by key. Everything after the one shuffle, by group and range
-    of ``key_range`` keys, stays in its partition: a range holds at most ``key_range`` keys a snapshot, so that neither a large
+    count) on both sides are discarded; the rows of the rest meet by key. Keys that a sketch finds to hold many rows are brought to one row a
+    snapshot before they move. Everything after the one shuffle of the others, by group and range of ``key_range`` keys, stays in its partition: a range holds at most ``key_range`` keys a snapshot, so that neither a large
     group nor a long history ends in one task. Keys other than integers are sorted by their hash.
 
     Result: ``group``, ``version`` (the later one), ``key``, ``change_kind`` = added, removed or changed.
@@ -63,7 +64,11 @@ def snapshot_changes(
         F.col(key).alias("_k"),
         order.alias("_o"),
         F.struct(F.col(latest_by).alias("_at"), F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(values)]).alias("_values")).alias("_row"),
-    ).repartition("_g", "_range")
+    )
+    # A key delivered very often is brought to one row a snapshot before it moves.
+    hot = F.broadcast(heavy_keys(named, key))
+    often = spread.join(hot, F.col("_k") == F.col("_heavy"), "left_semi").groupBy("_g", "_range", "_v", "_k", "_o").agg(F.max("_row").alias("_row"))
+    spread = spread.join(hot, F.col("_k") == F.col("_heavy"), "left_anti").unionByName(often).repartition("_g", "_range")
     records = spread.groupBy("_g", "_range", "_v", "_o", "_k").agg(F.max("_row").alias("_row")).select("_g", "_range", "_v", "_o", "_k", F.col("_row._values").alias("_values"))
 
     # A bound follows from the key alone: both snapshots cut at it wherever both hold it.
