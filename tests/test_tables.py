@@ -90,12 +90,23 @@ def test_overlapping_spans_of_one_first_day(spark):
     assert references.orphan_references({"page": page}, spans).count() == 0
 
 
-def test_no_known_key_is_denied(spark):
-    keys = spark.range(0, 5000, 3).selectExpr("id as qid")
-    words = references.bloom_words(keys, "qid", 1 << 16)
-    tested = references.maybe_known(spark.range(0, 5000).selectExpr("id as qid"), words, "qid", 1 << 16)
-    assert tested.where("qid % 3 = 0 and not _maybe").count() == 0
-    assert tested.where("qid % 3 != 0 and _maybe").count() < 200
+@pytest.mark.parametrize("blocks", [1, 5])
+def test_no_known_key_is_denied(spark, blocks):
+    keys = spark.range(0, 1200, 3).selectExpr("id as qid")
+    bloom = references.bloom_blocks(keys, "qid", blocks)
+    tested = references.maybe_known(spark.range(0, 5000).selectExpr("id as qid"), bloom, "qid", blocks)
+    assert tested.where("qid % 3 = 0 and qid < 1200 and not _maybe").count() == 0
+    assert tested.where("(qid % 3 != 0 or qid >= 1200) and _maybe").count() < 150
+
+
+@pytest.mark.parametrize("filter_bytes", [references.FILTER_BYTES, 1])
+def test_the_filter_is_used_at_every_size(spark, filter_bytes):
+    refs = spark.range(3000).selectExpr("'20260101' as dump_date", "id as qid")
+    flags = spark.range(0, 3000, 2).selectExpr("concat('Q', id) as qid", "'20260101' as valid_from", "cast(null as string) as valid_to")
+    found = references.orphan_references({"page": refs}, flags, filter_bytes=filter_bytes)
+    assert found.count() == 1500 and found.where("qid % 2 = 0").count() == 0
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_words" in plan and ("strategy=broadcast" in plan) == (filter_bytes > 1)
 
 
 def edges(spark):
@@ -118,6 +129,30 @@ def test_skew_join(spark, most):
     assert got.groupBy("key", "qid_right").count().orderBy("key", "qid_right").collect() == [("hot", 1, 605), ("hot", 2, 605), ("k1", 3, 1)]
 
 
+def test_equal_rows_of_a_hot_key_are_dealt_evenly(spark):
+    left = spark.range(10_000).selectExpr("if(id % 10 = 0, 'b', 'a') as key", "1 as n")
+    right = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "key string, m long")
+    met = skew.salted_join(left, right, "key", 500)
+    assert {(r.key, r["count"]) for r in met.groupBy("key").count().collect()} == {("a", 9000), ("b", 1000)}
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan
+    parts = left.where("key = 'a'").selectExpr("pmod(monotonically_increasing_id(), 18) as salt").groupBy("salt").count()
+    assert parts.count() == 18 and parts.agg({"count": "max"}).first()[0] <= 1.1 * 500
+    assert skew.salted_join(left.limit(0), right, "key", 500).count() == 0
+
+
+def test_a_page_delivered_very_often(spark):
+    rows = [("en", d, 7, f"t{i % 3}", i, i % 20) for d in ("20260101", "20260201") for i in range(500)] + [("en", "20260201", 8, "x", 1, 0)]
+    assert changes(spark, rows) == expected(rows) == [("en", "20260201", 8, "added")]
+
+
+def test_sketch_of_several_columns(spark):
+    heavy, n = skew.all_heavy_keys(edges(spark), ["key", "qid"], 0.1)
+    assert n == 946 and "hot" in {r[0] for r in heavy["key"].collect()} and set(range(7)) >= {r[0] for r in heavy["qid"].collect()} - set(range(7, 300))
+    heavy, n = skew.all_heavy_keys(edges(spark).limit(0), ["key", "qid"])
+    assert n == 0 and heavy["key"].count() == 0
+
+
 def shuffles(df):
     """Shuffles of a plan, without those below what is kept in memory."""
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -126,7 +161,7 @@ def shuffles(df):
 
 def test_snapshots_shuffle_once(spark):
     rows = [("en", d, k, "t", k, 0) for d in ("1", "2") for k in range(50)]
-    assert shuffles(snapshots.snapshot_changes(pages(spark, rows))) == 1
+    assert shuffles(snapshots.snapshot_changes(pages(spark, rows))) == 2  # the other one brings hot keys to one row each
 
 
 def test_no_product_of_rows(spark):
