@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +13,13 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions.normalize import normalize_spans
 from corpuscle.operators.automaton import LEFTMOST_FIRST, LEFTMOST_LONGEST, STANDARD, Matcher, find
-from corpuscle.session import small
+from corpuscle.operators.skew import skew_join
+from corpuscle.session import BROADCAST_ROWS, materialize, small
 
-#: Keys up to which the dictionary goes to the executors as one automaton, and the anchor lengths beyond that: a key meets texts at the longest that it has.
-BROADCAST_KEYS, ANCHORS = 300_000, (24, 12, 6, 3)
-#: Bits of the filter over anchors (16 MB).
-FILTER_BITS = 1 << 27
+#: Keys up to which the dictionary goes to the executors as one automaton; beyond that texts meet it by a join.
+BROADCAST_KEYS = 300_000
+#: Of the join: characters of a long key that are looked up first, bits a key gets in the filter, and the most one filter may take (keys beyond that are taken in slices).
+ANCHOR, BITS_A_KEY, FILTER_BYTES = 6, 24, 128 << 20
 
 
 def automaton(keys: list[tuple[str, int]], how: str = "overlapping", first: bool = False):
@@ -44,26 +47,37 @@ def _spans_schema(docs: DataFrame, key: str) -> str:
     return f"{key} {docs.schema[key].dataType.simpleString()}, start int, end int, surface_id long"
 
 
-def find_by_automaton(docs: DataFrame, dictionary: DataFrame, key: str, text: str, how: str = "overlapping", first: bool = False) -> DataFrame:
-    """Occurrences by an automaton of the whole dictionary on each executor."""
-    keys = [(r.surface_key, r.surface_id) for r in dictionary.select("surface_key", "surface_id").orderBy("surface_id").collect()]
-    sent = docs.sparkSession.sparkContext.broadcast(keys)
+def find_by_automaton(docs: DataFrame, dictionary: DataFrame, key: str, text: str, how: str = "overlapping", first: bool = False, most: int | None = None) -> DataFrame:
+    """Occurrences by an automaton of the whole dictionary, built once on each Python worker; a dictionary of more than ``BROADCAST_KEYS`` keys is refused.
+
+    With ``most`` only the first so many of each text, by start, end and surface: the search of a text stops as soon as they are certain.
+    """
+    keys = [(r.surface_key, r.surface_id) for r in dictionary.select("surface_key", "surface_id").limit(BROADCAST_KEYS + 1).collect()]
+    if len(keys) > BROADCAST_KEYS:
+        raise ValueError(f"an automaton may have {BROADCAST_KEYS} keys; larger dictionaries take find_by_join")
+    keys.sort(key=lambda k: k[1])
+    longest = max((len(k) for k, _ in keys), default=0)
+    sent, name = docs.sparkSession.sparkContext.broadcast(keys), uuid.uuid4().hex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = automaton(sent.value, how, first)
+        search = _built(name, lambda: automaton(sent.value, how, first))
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 rows = batch.slice(lo, 200)
                 who, begin, end, found = [], [], [], []
                 for i, t in enumerate(rows.column(1).to_pylist()):
                     norm, starts, ends = normalize_spans(t)
-                    hits = list(search(norm))
+                    hits = list(search(norm)) if most is None else _first_hits(search(norm), longest, most)
                     if hits:
                         a, b, ids = zip(*hits)
-                        who.append(np.full(len(hits), i))
-                        begin.append(starts[np.array(a)])
-                        end.append(ends[np.array(b) - 1])
-                        found.append(np.array(ids, np.int64))
+                        a, b, ids = starts[np.array(a)], ends[np.array(b) - 1], np.array(ids, np.int64)
+                        if most is not None:
+                            kept = np.lexsort((ids, b, a))[:most]
+                            a, b, ids = a[kept], b[kept], ids[kept]
+                        who.append(np.full(len(ids), i))
+                        begin.append(a)
+                        end.append(b)
+                        found.append(ids)
                 if who:
                     columns = [rows.column(0).take(pa.array(np.concatenate(who))), *[pa.array(np.concatenate(x)) for x in (begin, end, found)]]
                     yield pa.RecordBatch.from_arrays(columns, names=[key, "start", "end", "surface_id"])
@@ -71,119 +85,199 @@ def find_by_automaton(docs: DataFrame, dictionary: DataFrame, key: str, text: st
     return docs.where(F.col(text).isNotNull()).select(key, text).mapInArrow(scan, _spans_schema(docs, key))
 
 
+_BUILT: dict[str, object] = {}
+
+
+def _built(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once a Python worker; the last one is kept."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = make()
+    return _BUILT[name]
+
+
+def _first_hits(hits: Iterator, longest: int, most: int) -> list:
+    """Hits, which come by end, until ``most`` of them start before any that could still come: a later one starts no more than ``longest`` before the place reached."""
+    taken, check = [], most
+    for hit in hits:
+        taken.append(hit)
+        if len(taken) >= check:
+            if sum(a < hit[1] - longest - 1 for a, _, _ in taken) >= most:
+                break
+            check = len(taken) + most
+    return taken
+
+
+_BASE = 0x9E3779B97F4A7C15
+_UNDO = pow(_BASE, -1, 1 << 64)
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def rolling_hashes(points: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each of the ascending ``lengths`` a hash of the so many code points from each place on, where there are so many; rows of a matrix are texts of their own."""
-    total = np.zeros(points.shape, np.uint64)
-    for n in range(1, max(lengths, default=0) + 1):
-        if n > points.shape[-1]:
-            return
-        total = total[..., : points.shape[-1] - n + 1] * np.uint64(1_000_003) + points[..., n - 1 :]
-        if n in lengths:
-            mixed = (total ^ (total >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-            yield n, mixed ^ (mixed >> np.uint64(29))
+class Hashes:
+    """64-bit hashes of any stretches of a text, from sums that are made once; the same characters have the same hash wherever they stand."""
+
+    def __init__(self, points: np.ndarray) -> None:
+        one = np.ones(1, np.uint64)
+        powers = np.cumprod(np.concatenate([one, np.full(len(points), _BASE, np.uint64)]))
+        self.undo = np.cumprod(np.concatenate([one, np.full(len(points), _UNDO, np.uint64)]))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * powers[:-1])])
+
+    def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        x = (self.sums[start + length] - self.sums[start]) * self.undo[start]
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(29))
 
 
-def anchor_filter(anchors: DataFrame, most_bits: int = FILTER_BITS) -> np.ndarray:
-    """A filter over the hashes of distinct anchors, as 64-bit words: 16 bits an anchor, at most ``most_bits``; a text position it denies begins no key."""
-    bits = 1 << 10
-    n = anchors.count()
-    while bits < min(16 * n, most_bits):
-        bits *= 2
+def _word_and_bits(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which word of a filter a hash falls to, and its four bits in there."""
+    bits = np.zeros(len(hashes), np.uint64)
+    for k in range(4):
+        bits |= np.uint64(1) << ((hashes >> np.uint64(6 * k)) & np.uint64(63))
+    return ((hashes >> np.uint64(32)) % np.uint64(words)).astype(np.int64), bits
+
+
+def key_filter(keys: DataFrame, words: int) -> np.ndarray:
+    """A filter of 64-bit words over whole keys, and the first ``ANCHOR`` characters of longer ones; what it denies is none of them."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_length: dict[int, list[str]] = {}
-            for text in batch.column(0).to_pylist():
-                by_length.setdefault(len(text), []).append(text)
-            for length, texts in by_length.items():
-                points = code_points("".join(texts)).reshape(-1, length)
-                hashes = next(rolling_hashes(points, [length]))[1].ravel()
-                yield pa.RecordBatch.from_arrays([pa.array((hashes & np.uint64(bits - 1)).astype(np.int64))], names=["p"])
-
-    set_bits = F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")
-    words = anchors.select("_anchor").where("_anchor != ''").mapInArrow(places, "p long").groupBy(F.shiftright("p", 6).alias("word")).agg(set_bits).toPandas()
-    filled = np.zeros(bits // 64, np.uint64)
-    filled[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+            texts = batch.column(0).to_pylist()
+            lengths = np.array([len(t) for t in texts], np.int64)
+            hashes, starts = Hashes(code_points("".join(texts))), np.cumsum(lengths) - lengths
+            long = lengths > ANCHOR
+            both = np.concatenate([hashes.of(starts, lengths), hashes.of(starts[long], ANCHOR) ^ np.uint64(1)])
+            word, bits = _word_and_bits(both, words)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    got = keys.select("surface_key").mapInArrow(places, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    filled = np.zeros(words, np.uint64)
+    filled[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     return filled
 
 
-def find_by_anchor(docs: DataFrame, dictionary: DataFrame, key: str, text: str, anchors: tuple[int, ...] = ANCHORS) -> DataFrame:
-    """Overlapping occurrences by a join: keys meet texts at their first characters, and the rest is compared.
+def find_by_join(docs: DataFrame, dictionary: DataFrame, key: str, text: str, how: str = "overlapping", first: bool = False, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """Occurrences by a join of stretches of text with keys: for dictionaries of any size.
 
-    For dictionaries too large for one executor: it spills, and needs no automaton. The longer a key, the longer its anchor, so that
-    few keys share one; AQE splits what is still frequent. A filter of bounded size, which goes to the
-    executors, drops nearly all positions where no key begins; those left move with no more of their text than the longest key.
+    A stretch of a length that keys have moves only if a filter over whole keys passes it, so that about as many rows are shuffled as there are
+    occurrences, each with its few characters; the join with the keys settles which are true, and AQE splits keys that are found very often. Keys beyond ``filter_bytes`` of
+    filter are taken in slices by hash, for each of which the texts are read again. ``how`` and ``first`` choose occurrences that don't overlap, as the
+    automaton would: one sort within each text.
     """
-    n = F.length("surface_key")
-    cut = F.coalesce(*[F.when(n >= a, a) for a in sorted(anchors, reverse=True)], n)
-    keys = dictionary.select("surface_key", "surface_id", n.alias("_n"), F.left("surface_key", cut).alias("_anchor"))
-    bounds = keys.agg(F.max("_n"), F.collect_set(F.length("_anchor"))).first()
-    longest, lengths = bounds[0] or 0, sorted(bounds[1])
-    sent = docs.sparkSession.sparkContext.broadcast(anchor_filter(keys.select("_anchor").distinct()))
-
-    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = sent.value
-        last = np.uint64(len(words) * 64 - 1)
+    keys = dictionary.where("surface_key != ''").select("surface_key", "surface_id")
+    n, lengths = keys.agg(F.count("*"), F.collect_set(F.length("surface_key"))).first()
+    slices = max(1, math.ceil(n * BITS_A_KEY / 8 / filter_bytes))
+    kind = docs.schema[key].dataType.simpleString()
+    found = None
+    for part in range(slices):
+        some = keys if slices == 1 else keys.where(F.pmod(F.xxhash64("surface_key"), F.lit(slices)) == part)
+        words = max(16, math.ceil(n / slices * 1.05 * BITS_A_KEY / 64))
+        sent = docs.sparkSession.sparkContext.broadcast((key_filter(some, words), sorted(lengths)))
+        spread = docs.where(F.col(text).isNotNull()).select(key, text).mapInArrow(_stretches(sent, key), f"{key} {kind}, surface_key string, _a int, _b int, start int, `end` int")
+        met = spread.join(some.hint("shuffle_hash") if n > BROADCAST_KEYS else some, "surface_key")
+        found = met if found is None else found.unionByName(met)
+    if how != "overlapping":
+        found = _apart(found, key, how, first)
+    return found.select(key, "start", "end", "surface_id")
+
+
+def _stretches(sent, key: str) -> Callable:
+    """The stretches of texts that the filter passes."""
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, lengths = sent.value
+
+        def passed(hashes: np.ndarray) -> np.ndarray:
+            word, bits = _word_and_bits(hashes, len(words))
+            return (words[word] & bits) == bits
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                rows = batch.slice(lo, 200)
+                spans = [normalize_spans(t) for t in rows.column(1).to_pylist()]
+                sizes = np.array([len(s[0]) for s in spans], np.int64)
+                whole = "".join(s[0] for s in spans)
+                if not whole:
+                    continue
+                starts, ends = (np.concatenate([s[k] for s in spans]) for k in (1, 2))
+                of = np.repeat(np.arange(len(spans)), sizes)
+                left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(of))  # characters from here to the end of the text
+                hashes, at = Hashes(code_points(whole)), np.arange(len(of))
+                anchored = at[left > ANCHOR]
+                anchored = anchored[passed(hashes.of(anchored, ANCHOR) ^ np.uint64(1))]
+                for n in lengths:
+                    some = anchored if n > ANCHOR else at
+                    some = some[left[some] >= n]
+                    some = some[passed(hashes.of(some, n))]
+                    for k in range(0, len(some), 10_000):
+                        i = some[k : k + 10_000]
+                        first = (np.cumsum(sizes) - sizes)[of[i]]
+                        texts = pa.array([whole[x : x + n] for x in i.tolist()], pa.string())
+                        columns = [rows.column(0).take(pa.array(of[i])), texts, *[pa.array(x.astype(np.int32)) for x in (i - first, i - first + n, starts[i], ends[i + n - 1])]]
+                        yield pa.RecordBatch.from_arrays(columns, names=[key, "surface_key", "_a", "_b", "start", "end"])
+
+    return stretches
+
+
+def _apart(found: DataFrame, key: str, how: str, first: bool) -> DataFrame:
+    """Of all occurrences of each text those that don't overlap: ``standard`` by end, then longest; ``leftmost`` by start, then longest or ``first`` in the dictionary; texts that occur twice are told apart by nothing and count once."""
+    order = ["_b", "_a", "surface_id"] if how == "standard" else ["_a", "surface_id", F.desc("_b")] if first else ["_a", F.desc("_b"), "surface_id"]
+    columns = [key, "_a", "_b", "start", "end", "surface_id"]
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, end = object(), 0
         for batch in batches:
-            kind, rows = batch.schema.field(0).type, []
-
-            def flush(rows=rows, kind=kind) -> pa.RecordBatch:
-                columns = zip(*rows)
-                rows.clear()
-                kinds = (kind, pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()))
-                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[key, "_anchor", "_w", "start", "_ends"])
-
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                norm, starts, ends = normalize_spans(t)
-                for n, hashes in rolling_hashes(code_points(norm), lengths):
-                    place = hashes & last
-                    for i in np.flatnonzero((words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).tolist():
-                        rows.append((doc, norm[i : i + n], norm[i : i + longest], int(starts[i]), ends[i : i + longest]))
-                        if len(rows) >= 5000:
-                            yield flush()
-            if rows:
-                yield flush()
+            kept = []
+            for i, (t, a, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
+                if t != text:
+                    text, end = t, 0
+                if a >= end:
+                    kept.append(i)
+                    end = b
+            yield batch.take(pa.array(kept, pa.int64()))
 
-    kind = docs.schema[key].dataType.simpleString()
-    # Anchors of different lengths differ, so a key is met once at each place.
-    spread = docs.where(F.col(text).isNotNull()).select(key, text).mapInArrow(positions, f"{key} {kind}, _anchor string, _w string, start int, _ends array<int>")
-    met = spread.join(keys, "_anchor").where(F.expr("substring(_w, 1, _n) = surface_key"))
-    return met.select(key, "start", F.element_at("_ends", F.col("_n")).alias("end"), "surface_id")
+    ordered = found.select(*columns).repartition(key).sortWithinPartitions(key, *order)
+    return ordered.mapInArrow(pick, ordered.schema)
 
 
-def find_matches(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text", method: str = "auto") -> DataFrame:
+def find_matches(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text", method: str = "auto", how: str = "overlapping", first: bool = False) -> DataFrame:
     """Every occurrence of every key in every text: ``key``, ``start``, ``end`` (UTF-16 units of the text as it is), ``surface_id``.
 
     Texts are normalized by the contract of the keys, whole. A bag: a code point that folds to several characters may give an occurrence
     twice, and repeated rows of ``docs`` give theirs again. Null and empty texts have none; an empty dictionary gives an empty result.
-    ``auto`` takes the automaton up to ``BROADCAST_KEYS`` keys, else the join.
+    ``auto`` takes the automaton up to ``BROADCAST_KEYS`` keys, else the join. ``how`` is ``overlapping`` for all, ``longest_per_end``, ``standard``
+    or ``leftmost`` (``first``: the key given first wins, not the longest); of the last two, the join counts texts of one key as one text.
     """
     if method == "auto":
-        method = "automaton" if dictionary.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else "anchor"
-    return (find_by_automaton if method == "automaton" else find_by_anchor)(docs, dictionary, key, text)
+        method = "automaton" if dictionary.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else "join"
+    if method == "automaton":
+        return find_by_automaton(docs, dictionary, key, text, how, first)
+    if how == "longest_per_end":
+        return longest_per_end(find_by_join(docs, dictionary, key, text), key)
+    return find_by_join(docs, dictionary, key, text, how, first)
 
 
-def with_candidates(matches: DataFrame, dictionary: DataFrame, include_disambiguation: bool = True, most: int | None = None) -> DataFrame:
+def with_candidates(matches: DataFrame, dictionary: DataFrame, include_disambiguation: bool = True, most: int | None = None, most_keys: int = BROADCAST_ROWS) -> DataFrame:
     """Matches with ``shard_id`` and their candidates ``qids``: without disambiguations if so asked, then the first ``most`` (0 counts as 1); matches left without candidates go.
 
-    ``dictionary`` has ``candidates``. Filters and caps apply once a key, not once a match.
+    ``dictionary`` has ``candidates``. Filters and caps apply once a key, not once a match. Up to ``most_keys`` keys are broadcast; more meet the matches by a
+    join in which the keys that hold most of them are taken apart.
     """
     left = F.col("candidates")
     if not include_disambiguation:
         left = F.filter(left, lambda c: ~c["disambiguation"])
     if most is not None:
         left = F.slice(left, 1, max(1, most))
-    kept = dictionary.select("surface_id", "shard_id", left.alias("qids")).where(F.size("qids") > 0)
-    return matches.join(small(kept)[0], "surface_id").select(*[c for c in matches.columns if c != "surface_id"], "surface_id", "shard_id", "qids")
+    kept, fits = small(dictionary.select("surface_id", "shard_id", left.alias("qids")).where(F.size("qids") > 0), most_keys)
+    met = matches.join(kept, "surface_id") if fits else skew_join(materialize(matches, "matches"), kept, "surface_id")
+    return met.select(*[c for c in matches.columns if c != "surface_id"], "surface_id", "shard_id", "qids")
 
 
 def in_order(matches: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Matches by text, start, end, surface."""
-    return matches.orderBy(key, "start", "end", "surface_id")
+    """The matches of each text together, by start, end, surface; texts come in no order, so that nothing is sorted beyond what one task holds."""
+    return matches.repartition(key).sortWithinPartitions(key, "start", "end", "surface_id")
 
 
 def longest_per_end(matches: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -213,7 +307,9 @@ def events(docs: DataFrame, matches: DataFrame, key: str = "doc_id") -> DataFram
     return lines.unionByName(done)
 
 
-def first_matches(matches: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
-    """The first ``most`` matches of each text, as a consumer that stops early would take them."""
+def first_matches(docs: DataFrame, dictionary: DataFrame, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The first ``most`` matches of each text by start, end and surface, as a consumer that stops early would take them; with an automaton the search of a text stops there."""
+    if dictionary.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        return find_by_automaton(docs, dictionary, key, text, most=most)
     order = Window.partitionBy(key).orderBy("start", "end", "surface_id")
-    return matches.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+    return find_by_join(docs, dictionary, key, text).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")

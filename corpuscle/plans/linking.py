@@ -241,7 +241,7 @@ def match_overlapping(spark, d):
 
 
 def match_by_join(spark, d):
-    return matching.find_matches(table(spark, d, "documents"), _dictionary(spark, d), method="anchor")
+    return matching.find_matches(table(spark, d, "documents"), _dictionary(spark, d), method="join")
 
 
 def _counted(matches: DataFrame) -> DataFrame:
@@ -279,7 +279,7 @@ def match_events(spark, d):
 
 
 def match_first(spark, d):
-    return matching.first_matches(_linked(spark, d)[2], 2)
+    return matching.first_matches(table(spark, d, "documents"), _dictionary(spark, d), 2)
 
 
 def match_longest_per_end(spark, d):
@@ -288,7 +288,7 @@ def match_longest_per_end(spark, d):
 
 def _kind(how: str, first: bool = False):
     def query(spark, d):
-        return matching.find_by_automaton(table(spark, d, "documents"), _dictionary(spark, d), "doc_id", "text", how, first)
+        return matching.find_matches(table(spark, d, "documents"), _dictionary(spark, d), how=how, first=first)
 
     return query
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -37,11 +36,18 @@ class Session:
     """What is kept of a session between chunks: the normalizer, the end of the text a key could still begin in, and the count."""
 
     options: dict = field(default_factory=dict)
+    seen: bool = False
     normalizer: Normalizer = field(default_factory=Normalizer)
     tail: list[tuple[str, int, int]] = field(default_factory=list)
     matches: int = 0
 
+    @property
+    def closed(self) -> bool:
+        """Whether nothing is left that a later message could need: no text under way, options as at first."""
+        return not self.seen and not self.options
+
     def chunk(self, text: str, lookup: Lookup) -> Iterator[dict]:
+        self.seen = True
         new = self.normalizer.feed(text)
         old, spans = len(self.tail), self.tail + new
         found = sorted((spans[a][1], spans[b - 1][2], sid) for a, b, sid in lookup.search("".join(c for c, _, _ in spans)) if b > old)
@@ -54,6 +60,7 @@ class Session:
 
     def reset(self) -> None:
         """Forget the text; options stay."""
+        self.seen = False
         self.normalizer, self.tail, self.matches = Normalizer(), [], 0
 
 
@@ -109,23 +116,54 @@ def _ready(sent) -> Lookup:
     return _READY[id(rows)]
 
 
-def match_stream(messages: DataFrame, dictionary: DataFrame) -> DataFrame:
+def _stored(session: Session) -> tuple:
+    n = session.normalizer
+    tail = session.tail
+    return (
+        json.dumps(session.options), session.seen, n.offset, n.begun, n.pending and n.pending[0], n.pending and n.pending[1],
+        "".join(c for c, _, _ in tail), [a for _, a, _ in tail], [b for _, _, b in tail], session.matches,
+    )
+
+
+def _restored(row: tuple) -> Session:
+    options, seen, offset, begun, low, high, text, starts, ends, matches = row
+    pending = None if low is None else (low, high)
+    return Session(json.loads(options), seen, Normalizer(offset, begun, pending), list(zip(text, starts, ends)), matches)
+
+
+STATE = "options string, seen boolean, offset long, begun boolean, pending_start long, pending_end long, tail string, starts array<long>, ends array<long>, matches long"
+
+
+def match_stream(messages: DataFrame, dictionary: DataFrame, idle: str | None = None) -> DataFrame:
     """Answers to a stream of (``session_id`` string, ``seq`` long, ``payload`` string): ``session_id``, ``seq``, ``part`` (order of the answers to one message), ``line`` (JSON).
 
     Messages of a session are taken by ``seq`` within a micro-batch and batch after batch; the state of a session is the end of its text, no longer than
-    the longest key, its offsets, options and count. Null sessions are left out.
+    the longest key, its offsets, options and count. It is removed when the session's text has ended and it has no options, and, if ``idle`` is given, after so
+    much processing time without a message, which is answered by an interruption (``seq`` -1); a stream with a timeout runs until it is stopped, so none is
+    set by default. Null sessions are left out.
     """
     sent = _lookup(dictionary)
+    wait = idle and int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key, parts: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        columns = ["session_id", "seq", "part", "line"]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], -1, 0, interrupted("idle"))], columns=columns)
+            return
         lookup = _ready(sent)
-        session = pickle.loads(state.get[0]) if state.exists else Session()
+        session = _restored(state.get) if state.exists else Session()
         rows = pd.concat(list(parts)).sort_values("seq", kind="stable")
         out = [(key[0], seq, i, json.dumps(e, ensure_ascii=False)) for seq, payload in zip(rows["seq"], rows["payload"]) for i, e in enumerate(answer(session, payload, lookup))]
-        state.update((pickle.dumps(session),))
-        yield pd.DataFrame(out, columns=["session_id", "seq", "part", "line"])
-
-    return messages.where("session_id is not null").groupBy("session_id").applyInPandasWithState(step, OUTPUT, "state binary", "append", "NoTimeout")
+        if not session.closed:
+            state.update(_stored(session))
+            if wait:
+                state.setTimeoutDuration(wait)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=columns)
+
+    return messages.where("session_id is not null").groupBy("session_id").applyInPandasWithState(step, OUTPUT, STATE, "append", "ProcessingTimeTimeout" if wait else "NoTimeout")
 
 
 def match_sessions(messages: DataFrame, dictionary: DataFrame) -> DataFrame:

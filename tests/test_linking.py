@@ -1,3 +1,5 @@
+import numpy as np
+import random
 import bz2
 import gzip
 import json
@@ -161,7 +163,7 @@ def brute(rows, keys):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("method", ["auto", "automaton", "anchor"])
+@pytest.mark.parametrize("method", ["auto", "automaton", "join"])
 def test_matches(spark, method):
     known, flags = fixture(spark)
     docs = spark.createDataFrame(TEXTS, "doc_id long, text string").withColumn("surface_id", F.lit(99))
@@ -175,14 +177,14 @@ def test_matches(spark, method):
 def test_same_place_twice(spark):
     known = spark.createDataFrame([("s", 0), ("ss", 1)], "surface_key string, surface_id long")
     docs = spark.createDataFrame([(1, "ß")], "doc_id long, text string")
-    for method in ("automaton", "anchor"):
+    for method in ("automaton", "join"):
         assert sorted(tuple(r) for r in matching.find_matches(docs, known, method=method).collect()) == [(1, 0, 1, 0), (1, 0, 1, 0), (1, 0, 1, 1)]
 
 
 def test_long_text(spark):
     known = spark.createDataFrame([("ab", 0), ("b" * 50, 1)], "surface_key string, surface_id long")
     docs = spark.createDataFrame([(1, "ab " * 30_000 + "b" * 60)], "doc_id long, text string")
-    for method in ("automaton", "anchor"):
+    for method in ("automaton", "join"):
         assert matching.find_matches(docs, known, method=method).count() == 30_000 + 11
 
 
@@ -199,7 +201,8 @@ def test_candidates(spark):
     assert json.loads(lines[0]) == {"type": "match", "match": {"start": 2, "end": 4, "surface_id": 1, "shard_id": 0, "qids": [{"qid": "Q956", "qid_number": 956, "disambiguation": True}]}}
     assert lines[-1] == '{"type":"done","stats":{"matches":3}}' and len(lines) == 4
     assert sorted(tuple(r)[1:3] for r in matching.longest_per_end(found).collect()) == [(2, 4), (2, 6)]
-    assert matching.first_matches(found, 2).count() == 2
+    assert sorted(tuple(r)[1:3] for r in matching.first_matches(docs, known, 2).collect()) == [(2, 4), (2, 6)]
+    assert sorted((r.start, r.end, len(r.qids)) for r in matching.with_candidates(found, known, most_keys=0).collect()) == [(2, 4, 1), (2, 6, 2), (4, 6, 1)]
 
 
 def test_doctor(spark):
@@ -241,10 +244,40 @@ def test_stage_counts(spark):
     assert got == {"pages": 2, "pages_with_qid": 1, "disambiguation_pages": 1, "redirect_surfaces": 0, "entities": 1, "entity_surfaces": 3}
 
 
-def test_rolling_hashes():
+def test_hashes():
     text = "abc\U0001f600abcab" * 7
-    for n, hashes in matching.rolling_hashes(matching.code_points(text), [1, 3, 6]):
+    hashes = matching.Hashes(matching.code_points(text))
+    for n in (1, 3, 6):
         parts = [text[i : i + n] for i in range(len(text) - n + 1)]
-        alone = [int(next(matching.rolling_hashes(matching.code_points(p), [n]))[1][0]) for p in parts]
-        assert hashes.tolist() == alone and len(set(alone)) == len(set(parts))
-    assert list(matching.rolling_hashes(matching.code_points("ab"), [3])) == [] and list(matching.rolling_hashes(matching.code_points("ab"), [])) == []
+        got = hashes.of(np.arange(len(parts)), n).tolist()
+        assert got == [int(matching.Hashes(matching.code_points(p)).of(np.array([0]), n)[0]) for p in parts] and len(set(got)) == len(set(parts))
+
+
+@pytest.mark.parametrize("how, first", [("overlapping", False), ("longest_per_end", False), ("standard", False), ("leftmost", False), ("leftmost", True)])
+def test_the_join_agrees_with_the_automaton(spark, how, first):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab c") for _ in range(n)).strip() or "a"
+    keys = sorted({word(rng.randint(1, 12)).replace("  ", " ") for _ in range(120)}, key=lambda k: rng.random())
+    known = spark.createDataFrame(list(zip(keys, range(len(keys)))), "surface_key string, surface_id long")
+    docs = spark.createDataFrame([(i, word(rng.randint(0, 60))) for i in range(150)] + [(None, "ab a"), (900, None)], "doc_id long, text string")
+    a, b = (sorted((tuple(r) for r in matching.find_matches(docs, known, method=m, how=how, first=first).collect()), key=repr) for m in ("automaton", "join"))
+    assert a == b and a
+
+
+def test_a_dictionary_beyond_the_automaton(spark, monkeypatch):
+    """Its keys are taken in slices of a small filter; little more moves than is found."""
+    monkeypatch.setattr(matching, "BROADCAST_KEYS", 1000)
+    known = spark.range(5000).selectExpr("concat('key', lpad(cast(id * 7 as string), 5, '0'), repeat('x', cast(id % 40 as int))) as surface_key", "id as surface_id")
+    rows = [(i, f"say key{(i * 7) % 35000:05d}{'x' * 40} and key00003 no") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {r.surface_key: r.surface_id for r in known.collect()}
+    want = brute(rows, keys)
+    assert sorted((tuple(r) for r in matching.find_matches(docs, known).collect()), key=repr) == want
+    assert sorted((tuple(r) for r in matching.find_by_join(docs, known, "doc_id", "text", filter_bytes=4000).collect()), key=repr) == want
+    with pytest.raises(ValueError):
+        matching.find_by_automaton(docs, known, "doc_id", "text")
+    sent = spark.sparkContext.broadcast((matching.key_filter(known, 5000 * 24 // 64), sorted({len(k) for k in keys})))
+    moved = docs.mapInArrow(matching._stretches(sent, "doc_id"), "doc_id long, surface_key string, _a int, _b int, start int, `end` int").count()
+    assert len(want) <= moved <= 1.2 * len(want)
+    assert matching.first_matches(docs, known, 1).count() == len({d for d, *_ in want})
+    assert sorted(tuple(r) for r in matching.first_matches(docs, known.where("surface_id < 900"), 1).collect()) == sorted({d: (d, a, b, s) for d, a, b, s in sorted(w for w in want if w[3] < 900)[::-1]}.values())
