@@ -6,15 +6,18 @@ import hashlib
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpuscle.llm.lookalike import pieces_of
+from corpuscle.session import spread
 
 BITS, BLOCKS, RADIUS = 64, 4, 15
 #: Weighted share of an item window's words that a document window must hold to be aligned.
@@ -23,8 +26,8 @@ LEAST_SHARE = 0.5
 LEAST_SPAN, ALTERED_COST = 0.5, 3
 #: Share of the passage's weight that must be kept, where a word weighs its rarity squared: sentences of the same frame keep the frame, but not the names, numbers and nouns.
 LEAST_WEIGHT = 0.77
-#: Items compared at once; more are taken in blocks.
-BLOCK_ITEMS = 1_000
+#: Items looked for in one pass over the corpus; their index takes about 60 kB an item on each Python worker.
+BLOCK_ITEMS = 5_000
 
 _WORD = re.compile(r"[^\W_]+")
 _JOINTS = re.compile(r"(?<=[^\W_])['’‘ʼ-](?=[^\W_])")
@@ -126,20 +129,27 @@ class HammingIndex:
         return pairs // max(1, len(self.stored)), pairs % max(1, len(self.stored))
 
 
+class Rarity:
+    """What the words of all items weigh: rare ones more, in comparisons as they are, in fingerprints in steps from 1 to 8; words of no item as the rarest."""
+
+    def __init__(self, texts: Iterable[str | None]) -> None:
+        held: Counter = Counter()
+        n = 0
+        for t in texts:
+            if t and (w := words_of(t)):
+                n += 1
+                held.update(set(w))
+        self.number = {x: k for k, x in enumerate(sorted(held))}
+        self.weight = np.array([math.log(n / held[x]) + 0.02 for x in self.number])
+
+
 class Items:
-    """The evaluation items of one block, ready to be looked for; goes to the executors."""
+    """The evaluation items of one pass, ready to be looked for; made on the executors, with the weights of all items, so that no result depends on the passes."""
 
-    def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS) -> None:
+    def __init__(self, items: list[tuple[int, str]], rarity: Rarity, radius: int = RADIUS) -> None:
         texts = [(i, w) for i, t in items if i is not None and t and (w := words_of(t))]
         self.ids, self.words = [i for i, _ in texts], [w for _, w in texts]
-        self.number: dict[str, int] = {}
-        spread: Counter = Counter()
-        for w in self.words:
-            spread.update(set(w))
-        for x in spread:
-            self.number[x] = len(self.number)
-        # Rare words count more: in comparisons as they are, in fingerprints in steps from 1 to 8; words of no item as the rarest.
-        self.weight = np.array([math.log(len(texts) / n) + 0.02 for n in spread.values()])
+        self.number, self.weight = rarity.number, rarity.weight
         self.steps = np.append(np.ceil(8 * self.weight / max(self.weight, default=1)), 8).astype(np.int64)
         self.coded = [np.array([self.number[x] for x in w], np.int64) for w in self.words]
         by_size: dict[int, list[tuple[int, int, np.uint64]]] = {}
@@ -227,6 +237,10 @@ def spans(item: np.ndarray, place: np.ndarray, weights: np.ndarray) -> bool:
     return False
 
 
+#: The items of the last pass a Python worker took part in.
+_READY: dict[str, Items] = {}
+
+
 def leaked_items(docs: DataFrame, items: DataFrame, radius: int = RADIUS, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(``doc_id``, ``item_id``) of the documents whose ``text`` holds in one place, in order, at least half of an item's words, of which few are altered.
 
@@ -238,20 +252,23 @@ def leaked_items(docs: DataFrame, items: DataFrame, radius: int = RADIUS, block_
     multi-index over the items' windows (every second word or so, so that any half of an item holds several) finds every pair within ``radius`` bits: the 64 bits are 4 blocks, one of which must lie within
     radius // 4. Pairs whose window shares at least half of the item window's words, weighted by rarity among items, are
     aligned exactly, and the aligned passage must keep most of its weight; windows whose words, all counted, weigh too little to share half with any item are not looked up. A shingle is a single word here, as one word in ten may be altered; with five words, half of the shingles
-    of a true passage would be gone. The corpus is read once a block of items and not shuffled but for the distinct result; items, not
-    documents, go to the executors, at most ``block_items`` at a time.
+    of a true passage would be gone. The corpus is read once for every ``block_items`` items and not shuffled but for the distinct result; texts of items, not
+    documents, go to the executors, which index them once a worker. Words weigh what they do among all items, so the passes change no row.
     """
     spark = docs.sparkSession
+    items = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+    rarity = Rarity(r.text for r in items.toLocalIterator())
     blocks = max(1, math.ceil(items.count() / block_items))
-    from pyspark.sql import functions as F
-
     found = None
     for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "text").collect()
-        sent = spark.sparkContext.broadcast(Items([tuple(r) for r in part], radius))
-
-        def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = sent.value
+        part = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
+        sent, name = spark.sparkContext.broadcast((part, rarity)), uuid.uuid4().hex
+
+        def look(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            if name not in _READY:
+                _READY.clear()
+                _READY[name] = Items(*sent.value, radius)
+            block = _READY[name]
             for batch in batches:
                 for lo in range(0, batch.num_rows, 512):
                     rows = batch.slice(lo, 512)
@@ -259,6 +276,6 @@ def leaked_items(docs: DataFrame, items: DataFrame, radius: int = RADIUS, block_
                     pairs = block.leaked(rows.column(1).to_pylist())
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array([d for d, _ in pairs], pa.int64())), pa.array([block.ids[k] for _, k in pairs], pa.int64())], names=["doc_id", "item_id"])
 
-        one = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(look, "doc_id long, item_id long")
+        one = spread(docs.where("doc_id is not null and text is not null").select("doc_id", "text")).mapInArrow(look, "doc_id long, item_id long")
         found = one if found is None else found.unionByName(one)
     return found.distinct()

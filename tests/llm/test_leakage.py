@@ -35,7 +35,11 @@ def test_passages(spark):
         docs.append((1000 + k, " ".join([*filler(20), *item[: round(0.35 * n)], *filler(20)]), "x"))  # a quotation
         docs.append((2000 + k, " ".join(filler(80)), "x"))
         docs.append((3000 + k, " ".join([*filler(9), *(w if i % 3 else RNG.choice(WORDS) + "x" for i, w in enumerate(item)), *filler(9)]), "x"))  # one word in three is another
-    assert leaked(spark, docs, [(k, " ".join(w)) for k, w in enumerate(ITEMS)]) == want
+    items = [(k, " ".join(w)) for k, w in enumerate(ITEMS)]
+    assert leaked(spark, docs, items) == want
+    # The passes over the corpus change nothing.
+    d, i = spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(r) for r in leakage.leaked_items(d, i, block_items=7).collect()} == want
 
 
 def test_forms_of_characters(spark):
@@ -62,12 +66,6 @@ def test_frames_and_marks(spark):
     assert leaked(spark, docs, items) == {(3, 3), (200, 50)}
 
 
-def test_blocks_of_items(spark):
-    d = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(ITEMS)], "doc_id long, text string")
-    i = d.selectExpr("doc_id as item_id", "text")
-    assert {tuple(r) for r in leakage.leaked_items(d, i, block_items=7).collect()} == {(k, k) for k in range(len(ITEMS))}
-
-
 @settings(deadline=None)
 @given(st.integers(0, 15), st.integers(0, 2**64 - 1), st.lists(st.integers(0, 63), unique=True, max_size=20))
 def test_index_misses_nothing(radius, print_, bits):
