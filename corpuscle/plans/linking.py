@@ -31,7 +31,9 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 def _page_dump(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "dump-page")
-    rows = _pages(spark, d).select("page_id", F.when(F.col("page_id") % 10 == 9, 1).otherwise(0).alias("namespace"), "title", F.lit(0).alias("redirect"))
+    pages = _pages(spark, d)
+    render = lambda key, namespace: pages.select(key.alias("page_id"), F.lit(namespace).alias("namespace"), "title", F.lit(0).alias("redirect"))
+    rows = render(F.col("page_id"), 0).union(render(F.col("page_id") + 500, 4))  # each page has a talk page, which is none of the dictionary
     dumps.write_insert_values(rows, path, "page")
     return dumps.read_page(spark, path)
 
@@ -54,7 +56,8 @@ def _redirect_dump(spark: SparkSession, d: str) -> DataFrame:
     """Each page leads to the title of the next one of its wiki."""
     path = scratch(spark, "dump-redirect")
     follow = F.lead("title").over(Window.partitionBy("wiki").orderBy("page_id"))
-    rows = _pages(spark, d).select("page_id", F.when(F.col("page_id") % 7 == 0, 4).otherwise(0).alias("namespace"), follow.alias("target")).where("target is not null")
+    led = _pages(spark, d).select("page_id", F.lit(0).alias("namespace"), follow.alias("target")).where("target is not null")
+    rows = led.union(led.select("page_id", F.lit(4), F.lit("elsewhere")))  # and one to another namespace, which is dropped
     dumps.write_insert_values(rows, path, "redirect")
     return dumps.read_redirect(spark, path)
 

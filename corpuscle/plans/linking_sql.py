@@ -68,7 +68,7 @@ SELECT doc_id, m.s AS start, m.e AS "end", m.i AS surface_id FROM pick"""
 
 _ROWS = "SELECT wiki, page_id, title, qid, is_disambiguation FROM page WHERE wiki IS NOT NULL AND page_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY wiki, page_id ORDER BY dump_date DESC, loaded_at DESC, title DESC NULLS LAST, qid DESC NULLS LAST) = 1"
 _PAGES = f"WITH p AS (SELECT wiki, page_id * 1000 + dense_rank() OVER (ORDER BY wiki) AS page_id, coalesce(title, '') AS title, qid, is_disambiguation FROM ({_ROWS})), "
-_MAIN = _PAGES + "main AS (SELECT * FROM p WHERE page_id % 10 <> 9)"
+_MAIN = _PAGES + "main AS (SELECT * FROM p)"
 _ALL = 'SELECT doc_id, start, "end", surface_id FROM found'
 
 _ENTITY = f"WITH {DICT}, raw AS (SELECT qid, surface_key FROM edges WHERE qid <= 4294967295), "
@@ -99,7 +99,17 @@ SELECT wiki, nullif(regexp_extract(wiki, '^(.+)wiki$', 1), '') AS lang, dump_dat
     "redirect_targets": _MAIN
     + """, r AS (SELECT wiki, page_id, lead(title) OVER (PARTITION BY wiki ORDER BY page_id) AS target FROM p),
 t AS (SELECT wiki, title, arg_min(coalesce(qid, -1), page_id) AS qid FROM main GROUP BY ALL)
-SELECT s.page_id AS from_id, s.title, t.qid FROM r JOIN main s USING (page_id) JOIN t ON t.wiki = r.wiki AND t.title = r.target WHERE r.page_id % 7 <> 0 AND t.qid >= 0""",
+SELECT s.page_id AS from_id, s.title, t.qid FROM r JOIN main s USING (page_id) JOIN t ON t.wiki = r.wiki AND t.title = r.target WHERE t.qid >= 0""",
+    "stage_counts": _MAIN
+    + rf""", r AS (SELECT wiki, page_id, lead(title) OVER (PARTITION BY wiki ORDER BY page_id) AS target FROM p),
+t AS (SELECT wiki, title, arg_min(coalesce(qid, -1), page_id) AS qid FROM main GROUP BY ALL),
+led AS (SELECT s.title FROM r JOIN main s USING (page_id) JOIN t ON t.wiki = r.wiki AND t.title = r.target WHERE t.qid >= 0),
+titled AS (SELECT title FROM main WHERE qid IS NOT NULL UNION ALL SELECT title FROM led),
+{DICT}, raw AS (SELECT qid, surface_key FROM edges WHERE qid <= 4294967295), {_ENTITY_KEYS}
+SELECT 'pages' AS stage, count(*) AS n FROM main UNION ALL SELECT 'pages_with_qid', count(qid) FROM main
+UNION ALL SELECT 'disambiguation_pages', count(*) FROM main WHERE is_disambiguation
+UNION ALL SELECT 'redirect_surfaces', count(*) FROM titled WHERE regexp_matches(title, '[\p{{L}}\p{{N}}]')
+UNION ALL SELECT 'entities', count(DISTINCT qid) FROM raw UNION ALL SELECT 'entity_surfaces', count(*) FROM ek""",
     "entity_surfaces": _ENTITY + _ENTITY_KEYS + " SELECT surface_key, qid FROM ek",
     "entity_flags": _ENTITY + "q AS (SELECT DISTINCT qid FROM raw) SELECT qid, CAST(coalesce(flags, 0) & 1 AS INT) AS flags FROM q LEFT JOIN flagged USING (qid)",
     "surface_dictionary": f"WITH {DICT} SELECT surface_key, qids, CAST(len(qids) AS INT) AS qid_count FROM surf",
