@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import codecs
 import json
 import os
 import sys
+from collections.abc import Iterator
 
 from corpuscle import __version__
 
@@ -18,28 +20,52 @@ def _session():
     return SparkSession.getActiveSession() or local_session()
 
 
-def _text(args: argparse.Namespace) -> str:
-    return args.text if args.text is not None else sys.stdin.buffer.read().decode("utf-8")
+#: Bytes read from standard input at once.
+PIECE = 64 << 10
+
+
+def pieces(args: argparse.Namespace) -> Iterator[str]:
+    """The text in pieces: the argument as it is, else standard input, of which a character cut at the end of a piece goes with the next. Bytes that are no UTF-8 are a ``ValueError``."""
+    if args.text is not None:
+        yield args.text
+        return
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    while data := sys.stdin.buffer.read(PIECE):
+        yield decoder.decode(data)
+    yield decoder.decode(b"", True)
 
 
 def normalize(args: argparse.Namespace) -> int:
-    from corpuscle.functions.normalize import normalize_key
+    from corpuscle.functions.normalize import Normalizer
 
-    print(normalize_key(_text(args)) or "")
+    normalizer = Normalizer()
+    for piece in pieces(args):
+        sys.stdout.write("".join(c for c, _, _ in normalizer.feed(piece)))
+    print()
     return 0
 
 
 def match(args: argparse.Namespace) -> int:
-    """Matches of one text as JSON lines, then a line that it is done."""
+    """Matches of one text as JSON lines, as soon as they are found, then a line that it is done; with a dictionary too large for this process once all is read."""
     from corpuscle import pipeline
     from corpuscle.operators import matching
+    from corpuscle.streaming import sessions
 
     spark = _session()
-    docs = spark.createDataFrame([(0, _text(args))], "doc_id long, text string")
     known = pipeline.open_runtime(spark, args.data_dir)
-    found = pipeline.match_texts(docs, known, include_disambiguation=not args.exclude_disambiguation, most=args.max_candidates_per_surface)
-    for row in matching.events(docs, found).orderBy("seq").toLocalIterator():
-        print(row.line)
+    if known.limit(matching.BROADCAST_KEYS + 1).count() > matching.BROADCAST_KEYS:
+        docs = spark.createDataFrame([(0, "".join(pieces(args)))], "doc_id long, text string")
+        found = pipeline.match_texts(docs, known, include_disambiguation=not args.exclude_disambiguation, most=args.max_candidates_per_surface)
+        for row in matching.events(docs, found).orderBy("seq").toLocalIterator():
+            print(row.line)
+        return 0
+    lookup = sessions.lookup(known)
+    session = sessions.Session({"include_disambiguation": not args.exclude_disambiguation, "max_candidates_per_surface": args.max_candidates_per_surface})
+    for piece in pieces(args):
+        for event in session.chunk(piece, lookup):
+            if event["type"] == "match":
+                print(json.dumps(event, ensure_ascii=False, separators=(",", ":")))
+    print(json.dumps({"type": "done", "stats": {"matches": session.matches}}, separators=(",", ":")))
     return 0
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pickle
+import json
 from collections import deque
 from collections.abc import Iterable, Iterator, Sequence
 from typing import NamedTuple
@@ -34,12 +34,12 @@ class Matcher:
         self.fail = [0]
         self.own: list[list[tuple[int, object]]] = [[]]  # (length, value) that end here
         self.rank: list[int] = [-1]  # of the first pattern that ends here
-        self.values, self.lengths = [], []
+        self.values, self.patterns = [], []
         given = iter(values) if values is not None else None
         for number, pattern in enumerate(patterns):
             value = number if given is None else next(given)
             self.values.append(value)
-            self.lengths.append(len(pattern))
+            self.patterns.append(pattern)
             state = 0
             for symbol in pattern:
                 if symbol not in self.next[state]:
@@ -56,8 +56,10 @@ class Matcher:
     def _link(self) -> None:
         self.fail = [0] * len(self.next)
         self.out = [0] * len(self.next)  # the nearest state on the failure path, itself included, where a pattern ends; 0: none but the root's
+        self.depth = [0] * len(self.next)
         waiting = deque(self.next[0].values())
         for s in waiting:
+            self.depth[s] = 1
             self.out[s] = s if self.own[s] else 0
         while waiting:
             s = waiting.popleft()
@@ -66,6 +68,7 @@ class Matcher:
                 while f and symbol not in self.next[f]:
                     f = self.fail[f]
                 self.fail[t] = self.next[f].get(symbol, 0)
+                self.depth[t] = self.depth[s] + 1
                 self.out[t] = t if self.own[t] else self.out[self.fail[t]]
                 waiting.append(t)
 
@@ -127,41 +130,69 @@ class Matcher:
         An empty occurrence right after another one is left out.
         """
         self._needs(LEFTMOST_LONGEST, LEFTMOST_FIRST)
+        yield from self._with_empty(symbols) if self.own[0] else self._leftmost(symbols)
+
+    def _leftmost(self, symbols: Sequence) -> Iterator[Match]:
+        """One walk over the text: an occurrence is certain once no prefix under way begins as early; the walk goes on behind it."""
+        at, n, state, best = 0, len(symbols), 0, None
+        while at < n or best:
+            if at < n:
+                state = self.step(state, symbols[at])
+                at += 1
+                if s := self.out[state]:
+                    start = at - self.depth[s]
+                    if best is None or start < best[0] or start == best[0] and (self.kind == LEFTMOST_LONGEST or self.rank[s] < self.rank[best[2]]):
+                        best = (start, at, s)
+            if best and (at >= n or at - self.depth[state] > best[0]):
+                yield Match(best[0], best[1], self.own[best[2]][0][1])
+                at, state, best = best[1], 0, None
+
+    def _with_empty(self, symbols: Sequence) -> Iterator[Match]:
+        """The same where the empty pattern, which matches everywhere, is among them."""
         start, n, closed = 0, len(symbols), -1
         while start <= n:
-            state, best = 0, (0, self.own[0], self.rank[0]) if self.own[0] else None
+            state, best = 0, (0, self.own[0], self.rank[0])
             for end in range(start, n):
                 state = self.next[state].get(symbols[end])
                 if state is None:
                     break
-                if self.own[state] and (best is None or self.kind == LEFTMOST_LONGEST or self.rank[state] < best[2]):
+                if self.own[state] and (self.kind == LEFTMOST_LONGEST or self.rank[state] < best[2]):
                     best = (end + 1 - start, self.own[state], self.rank[state])
-            if best and (best[0] or start != closed):
+            if best[0] or start != closed:
                 yield Match(start, start + best[0], best[1][0][1])
-            start += max(1, best[0] if best else 1)
-            closed = start if best and best[0] else -1
+            start += max(1, best[0])
+            closed = start if best[0] else -1
 
     def stepper(self) -> Stepper:
         """A search that is fed symbol by symbol."""
         self._needs(STANDARD)
         return Stepper(self)
 
+    def find_stepper(self) -> FindStepper:
+        """The plain search fed symbol by symbol: occurrences that don't overlap."""
+        self._needs(STANDARD)
+        return FindStepper(self)
+
     def describe(self) -> dict[str, object]:
-        """Kind, patterns, states, and bytes when saved."""
-        return {"kind": self.kind, "patterns": len(self.values), "states": len(self.next), "bytes": len(self.save())}
+        """Kind, patterns, states, edges, and bytes when saved."""
+        return {"kind": self.kind, "patterns": len(self.values), "states": len(self.next), "edges": sum(map(len, self.next)), "bytes": len(self.save())}
 
     def save(self) -> bytes:
-        return pickle.dumps((self.kind, self.next, self.own, self.rank, self.values, self.lengths))
+        """Kind, patterns (texts, or lists of symbols) and values as JSON; values must be what JSON can say."""
+        patterns = [p if isinstance(p, str) else {"symbols": list(p), "bytes": isinstance(p, (bytes, bytearray))} for p in self.patterns]
+        return json.dumps({"kind": self.kind, "patterns": patterns, "values": self.values}).encode()
 
     @classmethod
     def load(cls, data: bytes) -> Matcher:
-        """A saved matcher; ``ValueError`` if a state leads outside. Load only what you saved yourself."""
-        made = cls([])
-        made.kind, made.next, made.own, made.rank, made.values, made.lengths = pickle.loads(data)
-        if any(t >= len(made.next) for edges in made.next for t in edges.values()) or len(made.own) != len(made.next):
-            raise ValueError("damaged matcher")
-        made._link()
-        return made
+        """A saved matcher, built anew from its patterns, so that no data can make it lead astray; ``ValueError`` if it is damaged."""
+        try:
+            said = json.loads(data)
+            patterns = [p if isinstance(p, str) else bytes(p["symbols"]) if p["bytes"] else p["symbols"] for p in said["patterns"]]
+            if len(patterns) != len(said["values"]):
+                raise ValueError("as many values as patterns are needed")
+            return cls(patterns, said["values"], said["kind"])
+        except (ValueError, KeyError, TypeError, UnicodeDecodeError) as e:
+            raise ValueError(f"damaged matcher: {e}") from e
 
 
 class Stepper:
@@ -179,6 +210,16 @@ class Stepper:
         return [Match(self.end - n, self.end, v) for n, v in self.matcher.ending(self.state)]
 
 
+class FindStepper(Stepper):
+    """Plain search over a text that arrives in pieces: after an occurrence the search begins anew, so ask after every symbol."""
+
+    def matches(self) -> list[Match]:
+        found = super().matches()[:1]
+        if found:
+            self.state = 0
+        return found
+
+
 def find(matcher: Matcher, symbols: Sequence, how: str) -> Iterator[Match]:
     """``overlapping``, ``longest_per_end``, ``standard`` or ``leftmost`` search by name."""
     searches = {"overlapping": matcher.find_overlapping, "longest_per_end": matcher.find_longest_per_end, "standard": matcher.find, "leftmost": matcher.find_leftmost}

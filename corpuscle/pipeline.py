@@ -70,9 +70,8 @@ def compile_dictionary(spark: SparkSession, preprocessed: str, out: str, shard_s
         raise ValueError(f"counts that don't fit their entities: {wrong}")
     known = materialize(dictionary.attach_flags(dictionary.with_surface_ids(surfaces, shard_size), flags), "dictionary")
     used = materialize(dictionary.referenced_qids(known, flags), "qids")
-    tables.publish(known, f"{out}/dictionary")
     used.repartitionByRange("qid").sortWithinPartitions("qid").write.mode("overwrite").parquet(f"{out}/qids")
-    tables.write_manifest(checks.metadata(known, used), f"{out}/dictionary", shard_size=shard_size)
+    tables.publish(known, f"{out}/dictionary", tables.stamped(checks.metadata(known, used), shard_size=shard_size))
 
 
 def open_runtime(spark: SparkSession, data_dir: str | None = None) -> DataFrame:

@@ -11,15 +11,17 @@ import hashlib
 import json
 import struct
 import threading
+from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import DataFrame
 
 from corpuscle.operators.checks import CONTRACT
+from corpuscle.operators.matching import BROADCAST_KEYS
 from corpuscle.streaming.sessions import Lookup, Session, answer, interrupted
 
-#: Largest request body.
-BODY_LIMIT = 32 << 20
+#: Largest request body, or message of a WebSocket in one frame or many; characters searched between two looks at whether to stop.
+BODY_LIMIT, PIECE = 32 << 20, 1 << 16
 # Fixed value of the WebSocket protocol.
 _GUID = "258EAFA5-E914-47DA-95CA-C5AB0DC85B11"
 _TEXT, _CLOSE, _PING, _PONG = 1, 8, 9, 10
@@ -31,7 +33,9 @@ class Service(ThreadingHTTPServer):
     daemon_threads = True
 
     def __init__(self, known: DataFrame, address: tuple[str, int] = ("127.0.0.1", 0)) -> None:
-        rows = known.select("surface_key", "surface_id", "shard_id", "candidates").collect()
+        rows = known.select("surface_key", "surface_id", "shard_id", "candidates").limit(BROADCAST_KEYS + 1).collect()
+        if len(rows) > BROADCAST_KEYS:
+            raise ValueError(f"one process serves at most {BROADCAST_KEYS} keys; larger dictionaries take the DataFrame operators")
         self.lookup = Lookup([(r[0], r[1], r[2], [tuple(c) for c in r[3]]) for r in rows])
         qids = {c.qid for r in rows for c in r[3]}
         self.facts = {"surface_normalization": CONTRACT, "surface_count": len(rows), "qid_count": len(qids), "shard_count": len({r[2] for r in rows})}
@@ -77,16 +81,31 @@ class _Handler(BaseHTTPRequestHandler):
         try:
             asked = json.loads(self.rfile.read(length))
             start = json.dumps({"type": "start", "options": asked.get("options")})
-            chunk = json.dumps({"type": "chunk", "text": asked["text"]})
+            text = asked["text"]
         except (ValueError, KeyError, AttributeError) as e:
             return self._say(422, f"{e}\n")
         session = Session()
-        events = [e for message in (start, chunk) for e in answer(session, message, self.server.lookup)]
-        if wrong := [e for e in events if e["type"] == "error"]:
+        if wrong := [e for e in answer(session, start, self.server.lookup) if e["type"] == "error"]:
             return self._say(422, f"{wrong[0]['message']}\n")
-        lines = [json.dumps(e, ensure_ascii=False) for e in events if e["type"] == "match"]
-        end = interrupted("shutdown") if self.server.stopping.is_set() else json.dumps({"type": "done", "stats": {"matches": session.matches}})
-        self._say(200, "".join(f"{x}\n" for x in [*lines, end]), "application/x-ndjson")
+        if not isinstance(text, str):
+            return self._say(422, "text must be a string\n")
+        self.send_response(200)
+        self.send_header("Content-Type", "application/x-ndjson")
+        self.send_header("Transfer-Encoding", "chunked")
+        self.end_headers()
+        for line in self._lines(session, text):
+            # Written as it is found: a client that reads slowly holds the search up, and nothing is kept for it.
+            data = f"{line}\n".encode()
+            self.wfile.write(b"%x\r\n%s\r\n" % (len(data), data))
+        self.wfile.write(b"0\r\n\r\n")
+
+    def _lines(self, session: Session, text: str) -> Iterator[str]:
+        for at in range(0, len(text), PIECE):
+            if self.server.stopping.is_set():
+                yield interrupted("shutdown")
+                return
+            yield from (json.dumps(e, ensure_ascii=False) for e in session.chunk(text[at : at + PIECE], self.server.lookup) if e["type"] == "match")
+        yield json.dumps({"type": "done", "stats": {"matches": session.matches}})
 
     def _session(self) -> None:
         key = self.headers.get("Sec-WebSocket-Key", "") + _GUID
@@ -105,6 +124,9 @@ class _Handler(BaseHTTPRequestHandler):
                 self._send(_PONG, data)
             elif kind in (_TEXT, 0):
                 parts += data
+                if len(parts) > BODY_LIMIT:
+                    self._send(_CLOSE, struct.pack(">H", 1009))
+                    return
                 if not last:
                     continue
                 if self.server.stopping.is_set():

@@ -96,12 +96,22 @@ def interrupted(reason: str) -> str:
     return json.dumps({"type": "interrupted", "reason": reason})
 
 
-def _lookup(dictionary: DataFrame):
-    """The dictionary for the executors; one of more than ``BROADCAST_KEYS`` keys is refused, as every executor would have to hold it."""
+def _rows(dictionary: DataFrame) -> list[tuple]:
+    """The dictionary's rows for ``Lookup``; one of more than ``BROADCAST_KEYS`` keys is refused, as every process would have to hold it."""
     rows = dictionary.select("surface_key", "surface_id", "shard_id", "candidates").orderBy("surface_id").limit(BROADCAST_KEYS + 1).collect()
     if len(rows) > BROADCAST_KEYS:
         raise ValueError(f"a dictionary for streams may have {BROADCAST_KEYS} keys")
-    return dictionary.sparkSession.sparkContext.broadcast([(r[0], r[1], r[2], [(c.qid, c.qid_number, c.disambiguation) for c in r[3]]) for r in rows])
+    return [(r[0], r[1], r[2], [(c.qid, c.qid_number, c.disambiguation) for c in r[3]]) for r in rows]
+
+
+def lookup(dictionary: DataFrame) -> Lookup:
+    """The dictionary in this process."""
+    return Lookup(_rows(dictionary))
+
+
+def _lookup(dictionary: DataFrame):
+    """The dictionary for the executors."""
+    return dictionary.sparkSession.sparkContext.broadcast(_rows(dictionary))
 
 
 _READY: dict[int, Lookup] = {}

@@ -1,5 +1,5 @@
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpuscle.operators.automaton import LEFTMOST_FIRST, LEFTMOST_LONGEST, Matcher, find
@@ -82,3 +82,39 @@ def test_against_brute_force(words, text):
     assert rows(find(Matcher(words), text, "standard")) == apart(lambda m: (m[1], m[0]))
     assert rows(find(Matcher(words, kind=LEFTMOST_LONGEST), text, "leftmost")) == apart(lambda m: (m[0], -m[1]))
     assert rows(find(Matcher(words, kind=LEFTMOST_FIRST), text, "leftmost")) == apart(lambda m: (m[0], m[2]))
+
+
+@settings(deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=5), min_size=1, max_size=8), st.text("abc", max_size=30), st.booleans())
+def test_leftmost_against_brute_force(patterns, text, longest):
+    kind = LEFTMOST_LONGEST if longest else LEFTMOST_FIRST
+    want, at = [], 0
+    while at < len(text):
+        here = [(k, p) for k, p in enumerate(patterns) if text.startswith(p, at)]
+        if not here:
+            at += 1
+            continue
+        k, p = max(here, key=lambda x: (len(x[1]), -x[0])) if longest else here[0]
+        want.append((at, at + len(p), k))
+        at += len(p)
+    assert [tuple(m) for m in Matcher(patterns, kind=kind).find_leftmost(text)] == want
+    made = Matcher.load(Matcher(patterns, kind=kind).save())
+    assert [tuple(m) for m in made.find_leftmost(text)] == want
+
+
+@settings(deadline=None)
+@given(st.lists(st.text("ab", min_size=1, max_size=4), min_size=1, max_size=5), st.text("ab", max_size=20))
+def test_plain_search_in_steps(patterns, text):
+    made = Matcher(patterns)
+    step, got = made.find_stepper(), []
+    for ch in text:
+        step.consume(ch)
+        got += step.matches()
+    assert got == list(made.find(text))
+
+
+@pytest.mark.parametrize("data", [b"", b"{}", b"[1]", b"\xff", b'{"kind": "other", "patterns": [], "values": []}', b'{"kind": "standard", "patterns": ["a"], "values": []}'])
+def test_damaged(data):
+    with pytest.raises(ValueError):
+        Matcher.load(data)
+    assert list(Matcher.load(Matcher([b"ab", b""], [7, "x"]).save()).find_overlapping(b"ab")) == list(Matcher([b"ab", b""], [7, "x"]).find_overlapping(b"ab"))

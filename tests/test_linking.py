@@ -1,9 +1,10 @@
-import numpy as np
-import random
 import bz2
 import gzip
 import json
+import random
+import threading
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,8 +113,9 @@ def test_edges_are_a_set(spark):
 def test_published_dictionary(spark, tmp_path):
     known, flags = fixture(spark)
     path = f"file://{tmp_path}/dict"
-    tables.publish(known, path)
-    tables.write_manifest(checks.metadata(known, flags), path, shard_size=2)
+    with pytest.raises(ValueError):
+        tables.open_dictionary(spark, path)
+    tables.publish(known, path, tables.stamped(checks.metadata(known, flags), shard_size=2))
     back = tables.open_dictionary(spark, path, checks.CONTRACT)
     assert back.count() == 4 and tables.read_manifest(spark, path).first().shard_size == 2
     with pytest.raises(ValueError):
@@ -237,6 +239,36 @@ def test_sessions(spark, tmp_path):
     assert json.loads(sessions.interrupted("shutdown")) == {"type": "interrupted", "reason": "shutdown"}
 
 
+def test_readers_during_a_second_publish(spark, tmp_path):
+    path = f"file://{tmp_path}/dictionary"
+    make = lambda n: spark.range(n).selectExpr("id as surface_id", "cast(floor(id / 10) as int) as shard_id", "concat('k', id) as surface_key")
+    facts = lambda n: spark.createDataFrame([(n,)], "surface_count long")
+    tables.publish(make(20), path, facts(20))
+    seen, done = [], threading.Event()
+
+    def watch():
+        while not done.is_set():
+            folder = tmp_path / "dictionary"
+            version = max(x.name for x in folder.iterdir() if x.name.startswith("version-"))
+            seen.append((version, len(list((folder / version / "data").glob("shard_id=*/*.parquet"))) > 0, (folder / version / "manifest").exists()))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    opened = tables.open_dictionary(spark, path)
+    tables.publish(make(35), path, facts(35))
+    done.set()
+    watcher.join()
+    assert len(seen) > 10 and all(data and facts for _, data, facts in seen)
+    assert opened.count() == 20 and tables.open_dictionary(spark, path).count() == 35  # who has it open reads on
+    tables.publish(make(35).where("surface_id != 12"), path, facts(34))
+    with pytest.raises(ValueError):
+        tables.open_dictionary(spark, path)
+    tables.publish(make(30), path, facts(31))
+    with pytest.raises(ValueError):
+        tables.open_dictionary(spark, path)
+    assert len([p for p in (tmp_path / "dictionary").iterdir() if p.name.startswith("version-")]) == 2
+
+
 def test_stage_counts(spark):
     pages = spark.createDataFrame([(1, "a", 1, True), (2, "b", None, False)], "page_id long, title string, qid long, is_disambiguation boolean")
     entities = spark.read.schema(dumps.ENTITY).json(spark.sparkContext.parallelize([json.dumps(ENTITY)]))

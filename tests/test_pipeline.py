@@ -1,9 +1,12 @@
 import bz2
 import gzip
+import io
 import json
+from types import SimpleNamespace
 
 import pytest
 
+from corpuscle import __main__ as cli
 from corpuscle import pipeline
 from corpuscle.__main__ import main
 
@@ -57,6 +60,22 @@ def test_commands(spark, built, capsys, monkeypatch):
         main(["unknown"])
 
 
+def test_input_in_pieces(spark, built, capsys, monkeypatch):
+    """A character that is cut between two reads is whole; matches cross pieces."""
+    monkeypatch.setattr(cli, "PIECE", 3)
+    text = "ü Ａlan-Turing, Enigma"
+    for command in (["normalize"], ["match", "--data-dir", built]):
+        monkeypatch.setattr("sys.stdin", SimpleNamespace(buffer=io.BytesIO(text.encode())))
+        assert main(command) == 0
+    first, *lines = capsys.readouterr().out.splitlines()
+    assert first == "u alan turing enigma"
+    found = [json.loads(x) for x in lines]
+    assert [(x["match"]["start"], x["match"]["end"]) for x in found[:-1]] == [(2, 13), (7, 13), (15, 21)] and found[-1]["stats"]["matches"] == 3
+    monkeypatch.setattr("sys.stdin", SimpleNamespace(buffer=io.BytesIO("ü".encode()[:1])))
+    with pytest.raises(ValueError):
+        main(["normalize"])
+
+
 def test_sql(spark, built):
     pipeline.register_matcher(pipeline.open_runtime(spark, built))
     got = spark.sql("select inline(match_text(t)) from values ('Alan Turing'), (null), ('') as v(t)").collect()

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscle.operators import dictionary
+from corpuscle.streaming import service as service_module
 from corpuscle.streaming.service import Service
 
 
@@ -44,6 +45,13 @@ def test_http(service):
         assert e.value.code == code
 
 
+def test_a_long_text_is_answered_piece_by_piece(service, monkeypatch):
+    monkeypatch.setattr(service_module, "PIECE", 7)
+    lines = [json.loads(x) for x in call(service, "/match", {"text": "在北京大学。" * 50}).splitlines()]
+    assert len(lines) == 101 and lines[-1]["stats"]["matches"] == 100
+    assert [x["match"]["start"] for x in lines[:4]] == [1, 3, 7, 9]
+
+
 def frame(kind, data):
     mask = os.urandom(4)
     size = bytes([128 | len(data)]) if len(data) < 126 else struct.pack(">BH", 254, len(data))
@@ -70,3 +78,16 @@ def test_websocket(service):
             assert [json.loads(get()[1])["type"] for _ in kinds] == kinds
         s.sendall(frame(8, b""))
         assert get()[0] == 8
+
+
+def test_fragments_add_up(service, monkeypatch):
+    monkeypatch.setattr(service_module, "BODY_LIMIT", 100)
+    with socket.create_connection(service.server_address) as s:
+        s.sendall(f"GET /match HTTP/1.1\r\nHost: x\r\nUpgrade: websocket\r\nConnection: Upgrade\r\nSec-WebSocket-Key: {base64.b64encode(bytes(16)).decode()}\r\n\r\n".encode())
+        reader = s.makefile("rb")
+        while reader.readline().strip():
+            pass
+        for _ in range(3):
+            part = frame(1, b"x" * 60)
+            s.sendall(bytes([part[0] & 127]) + part[1:])
+        assert reader.read(4) == bytes([136, 2]) + struct.pack(">H", 1009)
