@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from corpuscle.operators.skew import heavy_keys
 from corpuscle.session import small
 
+#: Share of all rows from which a key is brought to one row a snapshot before it moves.
+HOT_SHARE = 0.02
+
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -66,7 +69,7 @@ def snapshot_changes(
         F.struct(F.col(latest_by).alias("_at"), F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(values)]).alias("_values")).alias("_row"),
     )
     # A key delivered very often is brought to one row a snapshot before it moves.
-    hot = F.broadcast(heavy_keys(named, key))
+    hot = F.broadcast(heavy_keys(named, key, HOT_SHARE))
     often = spread.join(hot, F.col("_k") == F.col("_heavy"), "left_semi").groupBy("_g", "_range", "_v", "_k", "_o").agg(F.max("_row").alias("_row"))
     spread = spread.join(hot, F.col("_k") == F.col("_heavy"), "left_anti").unionByName(often).repartition("_g", "_range")
     records = spread.groupBy("_g", "_range", "_v", "_o", "_k").agg(F.max("_row").alias("_row")).select("_g", "_range", "_v", "_o", "_k", F.col("_row._values").alias("_values"))
