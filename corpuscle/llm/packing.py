@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +37,12 @@ def _tokenizer(vocabulary: str):
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(``doc_id``, ``n_tokens``) of every row's whole text; null texts have none."""
+    """(``doc_id``, ``n_tokens``) of every row's whole text; null texts have none. The driver's vocabulary file goes to the executors."""
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(vocabulary)
+        tokenizer = _tokenizer(SparkFiles.get(name))
         for batch in batches:
             lengths = [len(tokenizer.encode_ordinary(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64())], names=["doc_id", "n_tokens"])
