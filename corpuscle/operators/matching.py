@@ -183,16 +183,32 @@ def find_by_join(docs: DataFrame, dictionary: DataFrame, key: str, text: str, ho
     return found.select(key, "start", "end", "surface_id")
 
 
+def passing(words: np.ndarray, lengths: list[int], whole: str, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of texts of these sizes, which ``whole`` has one after the other, the stretches that the filter passes, some of one length at a time: the length, their places and the number of the text of each."""
+
+    def passed(hashes: np.ndarray) -> np.ndarray:
+        word, bits = _word_and_bits(hashes, len(words))
+        return (words[word] & bits) == bits
+
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(of))  # characters from here to the end of the text
+    hashes, at = Hashes(code_points(whole)), np.arange(len(of))
+    anchored = at[left > ANCHOR]
+    anchored = anchored[passed(hashes.of(anchored, ANCHOR) ^ np.uint64(1))]
+    for n in lengths:
+        some = anchored if n > ANCHOR else at
+        some = some[left[some] >= n]
+        some = some[passed(hashes.of(some, n))]
+        for k in range(0, len(some), 10_000):
+            i = some[k : k + 10_000]
+            yield n, i, of[i]
+
+
 def _stretches(sent, key: str) -> Callable:
     """The stretches of texts that the filter passes."""
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, lengths = sent.value
-
-        def passed(hashes: np.ndarray) -> np.ndarray:
-            word, bits = _word_and_bits(hashes, len(words))
-            return (words[word] & bits) == bits
-
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 rows = batch.slice(lo, 200)
@@ -202,21 +218,12 @@ def _stretches(sent, key: str) -> Callable:
                 if not whole:
                     continue
                 starts, ends = (np.concatenate([s[k] for s in spans]) for k in (1, 2))
-                of = np.repeat(np.arange(len(spans)), sizes)
-                left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(of))  # characters from here to the end of the text
-                hashes, at = Hashes(code_points(whole)), np.arange(len(of))
-                anchored = at[left > ANCHOR]
-                anchored = anchored[passed(hashes.of(anchored, ANCHOR) ^ np.uint64(1))]
-                for n in lengths:
-                    some = anchored if n > ANCHOR else at
-                    some = some[left[some] >= n]
-                    some = some[passed(hashes.of(some, n))]
-                    for k in range(0, len(some), 10_000):
-                        i = some[k : k + 10_000]
-                        first = (np.cumsum(sizes) - sizes)[of[i]]
-                        texts = pa.array([whole[x : x + n] for x in i.tolist()], pa.string())
-                        columns = [rows.column(0).take(pa.array(of[i])), texts, *[pa.array(x.astype(np.int32)) for x in (i - first, i - first + n, starts[i], ends[i + n - 1])]]
-                        yield pa.RecordBatch.from_arrays(columns, names=[key, "surface_key", "_a", "_b", "start", "end"])
+                begins = np.cumsum(sizes) - sizes
+                for n, i, of in passing(words, lengths, whole, sizes):
+                    first = begins[of]
+                    texts = pa.array([whole[x : x + n] for x in i.tolist()], pa.string())
+                    columns = [rows.column(0).take(pa.array(of)), texts, *[pa.array(x.astype(np.int32)) for x in (i - first, i - first + n, starts[i], ends[i + n - 1])]]
+                    yield pa.RecordBatch.from_arrays(columns, names=[key, "surface_key", "_a", "_b", "start", "end"])
 
     return stretches
 

@@ -239,6 +239,31 @@ def test_sessions(spark, tmp_path):
     assert json.loads(sessions.interrupted("shutdown")) == {"type": "interrupted", "reason": "shutdown"}
 
 
+def talk(spark):
+    """A dictionary and the messages of sessions in pieces of many sizes, with blanks and characters that vanish or become several at their ends; the messages of ``MESSAGES`` too."""
+    rng = random.Random(5)
+    keys = sorted({"".join(rng.choice("ab c") for _ in range(rng.randint(1, 9))).strip().replace("  ", " ") for _ in range(60)} - {""} | {"我", "北京", "京大学"})
+    rows = [(k, i, i // 10, [(f"Q{j}", j, j % 3 == 0) for j in range(i % 4)]) for i, k in enumerate(keys)]
+    known = spark.createDataFrame(rows, "surface_key string, surface_id long, shard_id int, candidates array<struct<qid: string, qid_number: long, disambiguation: boolean>>")
+    rows = [("fixed", i, m) for i, m in enumerate(MESSAGES)] + [(None, 0, MESSAGES[0])]
+    for s in range(12):
+        sent = [{"type": "start", "options": rng.choice([{}, {"include_disambiguation": False}, {"max_candidates_per_surface": rng.choice([0, 1, 1 << 40])}])}]
+        sent += [{"type": "chunk", "text": "".join(rng.choice("abc AB-\u00ad\ud800㏂ﬀ𝒶") for _ in range(rng.choice([0, 1, 5, 60])))} for _ in range(rng.randint(0, 9))]
+        rows += [(str(s), i, json.dumps(m)) for i, m in enumerate([*sent, {"type": "end"}] * 2)]
+    return known, spark.createDataFrame(rows, "session_id string, seq long, payload string")
+
+
+def test_sessions_of_a_dictionary_beyond_the_automaton(spark, monkeypatch):
+    known, messages = talk(spark)
+    rows = lambda: sorted(tuple(r) for r in sessions.match_sessions(messages, known).collect())
+    want = rows()
+    assert sum('"match"' in r[3] for r in want) > 200
+    monkeypatch.setattr(sessions, "BROADCAST_KEYS", 5)
+    assert rows() == want
+    monkeypatch.setattr(sessions, "FILTER_BYTES", 8)  # a filter that denies hardly anything
+    assert rows() == want
+
+
 def test_readers_during_a_second_publish(spark, tmp_path):
     path = f"file://{tmp_path}/dictionary"
     make = lambda n: spark.range(n).selectExpr("id as surface_id", "cast(floor(id / 10) as int) as shard_id", "concat('k', id) as surface_key")
