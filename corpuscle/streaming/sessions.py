@@ -10,8 +10,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpuscle.functions.normalize import Normalizer
 from corpuscle.operators.matching import BITS_A_KEY, BROADCAST_KEYS, FILTER_BYTES, automaton, key_filter, passing
@@ -173,11 +174,14 @@ class _Sieve:
         return max(self.lengths, default=1)
 
 
-# A message answered without a search: its answer but for matches, with the text to search. Of these, stretches that may be keys, and the answers again.
+# A message answered without a search: its answer but for matches, with the text to search. Of these, stretches that may be keys, and the answers again. On a stream ``n`` numbers the messages
+# of a session in a micro-batch from 0 if nothing is kept of the session, so that there is no count to look for, else from 1.
 _WINDOWS = "session_id string, seq long, n long, line string, disambiguations boolean, most int, text string, old int, base long, starts binary, ends binary"
 _STRETCHES = "session_id string, seq long, n long, line string, disambiguations boolean, most int, surface_key string, start long, end long"
 _STARTED, _DONE = json.dumps({"type": "started"}), json.dumps({"type": "done", "stats": {"matches": 0}})
 _MOST = (1 << 31) - 1
+# The only store of Spark's for a stream with two states.
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _names(schema: str) -> list[str]:
@@ -267,6 +271,28 @@ class _Count:
         return who, seq, part, line
 
 
+class _Counting(StatefulProcessor):
+    """``_Count`` on a stream: the state of a session is its count, kept while it isn't 0."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.matches = handle.getValueState("matches", "matches long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        answer_row = Row(*_names(OUTPUT))
+        ordered = sorted(rows, key=lambda r: (r[2], r[3] is not None, *r[4:7]))  # as _ORDER
+        before = self.matches.get() if ordered[0][2] else None
+        counted = _Count(before[0] if before else 0)
+        for r in ordered:
+            yield answer_row(*counted.answered(key[0], r[1], *r[3:]))
+        if counted.matches:
+            self.matches.update((counted.matches,))
+        elif before:
+            self.matches.clear()
+
+    def close(self) -> None:
+        pass
+
+
 def _sieve(known: DataFrame):
     """The filter for the executors: of ``BITS_A_KEY`` bits a key, less where it would take more than ``FILTER_BYTES``; then more stretches move, and the join denies them."""
     keys = known.where("surface_key != ''").select("surface_key")
@@ -281,17 +307,29 @@ def _taken(dictionary: DataFrame, method: str) -> tuple[DataFrame, bool]:
     return known, method == "join" or method == "auto" and known.count() > BROADCAST_KEYS
 
 
-def match_stream(messages: DataFrame, dictionary: DataFrame, idle: str | None = None) -> DataFrame:
+def match_stream(messages: DataFrame, dictionary: DataFrame, idle: str | None = None, method: str = "auto") -> DataFrame:
     """Answers to a stream of (``session_id`` string, ``seq`` long, ``payload`` string): ``session_id``, ``seq``, ``part`` (order of the answers to one message), ``line`` (JSON).
 
     Messages of a session are taken by ``seq`` within a micro-batch and batch after batch; the state of a session is the end of its text, no longer than
     the longest key, its offsets, options and count. It is removed when the session's text has ended and it has no options, and, if ``idle`` is given, after so
     much processing time without a message, which is answered by an interruption (``seq`` -1); a stream with a timeout runs until it is stopped, so none is
     set by default. Null sessions are left out.
+
+    ``auto`` takes the automaton up to ``BROADCAST_KEYS`` keys, else the join, for which each micro-batch reads the dictionary and the count is a state of its
+    own; a checkpoint is of one of the two, so where a dictionary may grow past that name the ``method``.
     """
+    known, join = _taken(dictionary, method)
     messages = messages.where("session_id is not null")
     wait = idle and int(pd.Timedelta(idle).total_seconds() * 1000)
-    return _stepped(messages, OUTPUT, _lookup(dictionary), _ready, Session, _answers, (0, interrupted("idle")), wait)
+    if not join:
+        return _stepped(messages, OUTPUT, _lookup(known), _ready, Session, _answers, (0, interrupted("idle")), wait)
+    sent = _sieve(known)
+    gone = (1, interrupted("idle"), True, _MOST, "", 0, 0, b"", b"")
+    windows = _stepped(messages, _WINDOWS, sent, lambda sent: sent.value, _Windowed, _window, gone, wait)
+
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
+    met = _met(windows.mapInArrow(_sifted(sent), _STRETCHES), known)
+    return met.groupBy("session_id").transformWithState(_Counting(), OUTPUT, "append", "none")
 
 
 def _stepped(messages: DataFrame, schema: str, sent, ready: Callable, kind: type[Session], respond: Callable, gone: tuple, wait: int | None) -> DataFrame:
@@ -304,9 +342,9 @@ def _stepped(messages: DataFrame, schema: str, sent, ready: Callable, kind: type
             yield pd.DataFrame([(key[0], -1, *gone)], columns=names)
             return
         lookup = ready(sent)
-        session = _restored(state.get, kind) if state.exists else kind()
+        session, first = (_restored(state.get, kind), 1) if state.exists else (kind(), 0)
         rows = pd.concat(list(parts)).sort_values("seq", kind="stable")
-        out = [row for n, (seq, payload) in enumerate(zip(rows["seq"], rows["payload"])) for row in respond(key[0], seq, n, session, payload, lookup)]
+        out = [row for n, (seq, payload) in enumerate(zip(rows["seq"], rows["payload"]), first) for row in respond(key[0], seq, n, session, payload, lookup)]
         if not session.closed:
             state.update(_stored(session))
             if wait:

@@ -264,6 +264,19 @@ def test_sessions_of_a_dictionary_beyond_the_automaton(spark, monkeypatch):
     assert rows() == want
 
 
+def test_streams_of_a_dictionary_beyond_the_automaton(spark, tmp_path, monkeypatch):
+    known, messages = talk(spark)
+    want = sorted(tuple(r) for r in sessions.match_sessions(messages, known).collect())
+    monkeypatch.setattr(sessions, "BROADCAST_KEYS", 5)
+    source, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    for part in (messages.where("seq < 4"), messages.where("seq >= 4")):
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(messages.schema).parquet(source)
+        query = sessions.match_stream(stream, known).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"file://{tmp_path}/point").trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == want
+
+
 def test_readers_during_a_second_publish(spark, tmp_path):
     path = f"file://{tmp_path}/dictionary"
     make = lambda n: spark.range(n).selectExpr("id as surface_id", "cast(floor(id / 10) as int) as shard_id", "concat('k', id) as surface_key")
